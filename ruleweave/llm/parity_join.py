@@ -115,7 +115,7 @@ def block_keys(s: np.ndarray, heavy: np.ndarray, bands: Bands) -> np.ndarray:
 
 def _sets(texts, width: int):
     """(sorted distinct shingles, class hash) for each text of an Arrow array; an empty set has class None."""
-    flat, starts = shingles(Words(texts, lower="ascii"), width)
+    flat, starts = shingles(Words(texts, lower=True), width)
     for a, b in zip(starts[:-1], starts[1:], strict=True):
         if a == b:
             yield flat[:0], None

@@ -131,13 +131,15 @@ def thresholds(found: DataFrame, fdr: float) -> dict[int, float]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.1) -> DataFrame:
     """One row per document: id, ``base`` and ``added`` arrays of (s, kind, e), kinds numbered as in KINDS."""
     text = F.coalesce(F.col("_text"), F.lit(""))
-    columns = []
-    for k, (kind, pattern, least) in enumerate(BASE_KINDS):
+
+    def base_spans(k: int, pattern: str, least: int) -> Column:
         found = _matches(text, pattern)
-        if kind == "assign":
-            found = F.filter(found, lambda x, least=least: F.length(F.regexp_extract(x["m"], BASE_KINDS[0][1], 2)) >= least)
-        spans = F.transform(found, lambda x, k=k: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
-        columns.append(F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{SPAN}>")).alias(kind))
+        if k == 0:
+            found = F.filter(found, lambda x: F.length(F.regexp_extract(x["m"], pattern, 2)) >= least)
+        spans = F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
+        return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    columns = [base_spans(k, pattern, least).alias(kind) for k, (kind, pattern, least) in enumerate(BASE_KINDS)]
     none = F.array().cast("array<struct<s:bigint,e:bigint,cls:int,p:double>>")
     columns.append(F.when(text.rlike(CANDIDATE), _candidates(text)).otherwise(none).alias("candidates"))
     found = settle(docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("_text")).select(id_col, *columns))

@@ -24,14 +24,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a batch: ``starts`` (one more than rows), ``codes`` into ``vocabulary``."""
 
-    def __init__(self, texts: pa.Array | pa.ChunkedArray, lower: str | None = None):
+    def __init__(self, texts: pa.Array | pa.ChunkedArray, lower: bool = False):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         if not isinstance(texts, pa.Array):
             texts = pa.array([], pa.string())
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if lower:
-            texts = pc.ascii_lower(texts) if lower == "ascii" else pc.utf8_lower(texts)
         lists = pc.ascii_split_whitespace(texts)
         offsets = np.asarray(lists.offsets, dtype=np.int64)
         flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
@@ -39,7 +37,8 @@ class Words:
         self.starts = np.concatenate([[0], np.cumsum(real)]).astype(np.int64)[offsets - offsets[0]]
         coded = flat.filter(pa.array(real)).dictionary_encode()
         self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.vocabulary = coded.dictionary
+        # Lower-casing A-Z after the split may leave equal words with two codes, but they hash alike.
+        self.vocabulary = pc.ascii_lower(coded.dictionary) if lower else coded.dictionary
 
     def counts(self) -> np.ndarray:
         return np.diff(self.starts)

@@ -1,13 +1,12 @@
 """Toxicity by weak supervision.
 
-Voters are a fixed lexicon, a lexicon induced from the labelled training rows, and patterns over their hits; each votes
-toxic, harmless or abstains. A generative label model with one hidden class learns by expectation-maximisation how often
+Voters are a fixed lexicon, words and word beginnings induced from the labelled training rows, patterns over their hits,
+and the annotator who gave the labels; each votes toxic, harmless or abstains. A generative label model with one hidden class learns by expectation-maximisation how often
 each voter casts each vote in each class, finds voters that agree beyond what the classes explain and shares their
 weight, and gives each training text a posterior. A logistic classifier over word and voter features is fitted to these
 posteriors and scores all documents.
 
-Training uses at most ``max_train`` labelled rows outside the held-out fold (least hash of the id first); of their labels
-only the class balance and the induced lexicon are taken. Cases: a null or empty text is scored by the bias and the
+Training uses at most ``max_train`` labelled rows outside the held-out fold (least hash of the id first). Cases: a null or empty text is scored by the bias and the
 voter of harmless texts; null ids are scored and never train; labels with a null id or label are ignored; without
 training rows the fixed lexicon alone votes; repeated rows and ties give one output row for each input row; an empty
 table gives an empty result; other columns of the input are ignored.
@@ -30,56 +29,76 @@ LEXICON = (
     "dummkopf", "abschaum", "ekelhaft", "widerlich", "connard", "ordure", "pathétique", "imbécile", "estúpido", "estúpida", "imbécil", "asqueroso", "escoria",
 )
 ADDRESS = ("you", "your", "you're", "u", "du", "ihr", "sie", "tu", "vous", "tú", "usted", "eres")
-PATTERNS = ("several_words", "dense", "addressed", "repeated", "no_hit")
+PATTERNS = ("several_terms", "dense", "addressed", "repeated", "no_hit")
+#: A term is a word, or ``^`` and the first letters of one; a term's levels are: once, twice, one word in a hundred.
+STEMS = (4, 5, 6, 7)
+LEVELS = 3
+
+
+def _terms(word: str) -> list[str]:
+    return [word, *["^" + word[:k] for k in STEMS if len(word) > k]] if word else []
 
 
 def _normal(words: Words) -> list[str]:
     return [w.strip(MARKS).lower() for w in words.vocabulary.to_pylist()]
 
 
+def _spread(words: Words, of_code: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(word position, id) for each word of the batch and each of its code's ids."""
+    many = np.array([len(x) for x in of_code] or [0])
+    flat = np.array([y for x in of_code for y in x], dtype=np.int64)
+    first = np.cumsum(many) - many
+    place = np.flatnonzero(many[words.codes] > 0) if len(words.codes) else np.zeros(0, np.int64)
+    n = many[words.codes[place]] if len(place) else np.zeros(0, np.int64)
+    start = np.repeat(first[words.codes[place]], n) if len(place) else np.zeros(0, np.int64)
+    return np.repeat(place, n), flat[start + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] if len(place) else flat[:0]
+
+
+def _levels(row: np.ndarray, term: np.ndarray, terms: int, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, level) for every level that a term reaches in a row of ``n`` words."""
+    key, times = np.unique(row * max(1, terms) + term, return_counts=True)
+    r, t = key // max(1, terms), key % max(1, terms)
+    reached = [np.ones(len(r), bool), times >= 2, 100 * times >= n[r]]
+    return tuple(np.concatenate(x) for x in zip(*[(r[ok], t[ok], np.full(int(ok.sum()), k)) for k, ok in enumerate(reached)], strict=True))
+
+
 class Measure:
-    """Word and voter features of batches of texts, for a lexicon and a vocabulary."""
+    """Binary features of batches of texts: each term at each level, then PATTERNS over the first ``lexicon`` terms."""
 
-    def __init__(self, lexicon: list[str], vocabulary: list[str]):
-        self.lexicon = {w: k for k, w in enumerate(lexicon)}
-        self.vocabulary = {w: k for k, w in enumerate(vocabulary)}
+    def __init__(self, terms: list[str], lexicon: int):
+        self.terms, self.lexicon = {w: k for k, w in enumerate(terms)}, lexicon
         self.address = set(ADDRESS)
-        self.width = len(lexicon) + len(PATTERNS) + len(vocabulary)
+        self.width = LEVELS * len(terms) + len(PATTERNS)
 
     def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """(row, feature) of all features that are 1: lexicon words, then PATTERNS, then vocabulary words."""
+        """(row, feature) of all features that are 1."""
         words = Words(texts)
         rows, n, at = len(words.starts) - 1, words.counts(), words.rows()
         normal = _normal(words)
-        lex = np.array([self.lexicon.get(w, -1) for w in normal] or [-1])
-        voc = np.array([self.vocabulary.get(w, -1) for w in normal] or [-1])
+        place, term = _spread(words, [[self.terms[t] for t in _terms(w) if t in self.terms] for w in normal])
+        row, which, level = _levels(at[place], term, len(self.terms), n)
+        lexical = place[term < self.lexicon]
+        hits = np.bincount(at[lexical], minlength=rows)
+        kinds = np.bincount(row[(which < self.lexicon) & (level == 0)], minlength=rows)
         you = np.array([w in self.address for w in normal] or [False])
-        codes = words.codes
-        hit = lex[codes] if len(codes) else np.zeros(0, np.int64)
-        place = np.flatnonzero(hit >= 0)
-        hits = np.bincount(at[place], minlength=rows)
-        pair = np.unique(np.stack([at[place], hit[place]], 1), axis=0) if len(place) else np.zeros((0, 2), np.int64)
-        kinds = np.bincount(pair[:, 0], minlength=rows)
-        said = you[codes] if len(codes) else np.zeros(0, bool)
+        said = you[words.codes] if len(words.codes) else np.zeros(0, bool)
         addressed = np.zeros(rows, bool)
         for back in (1, 2, 3):
-            p = place[place >= back]
+            p = lexical[lexical >= back]
             p = p[(at[p - back] == at[p]) & said[p - back]]
             addressed[at[p]] = True
         flags = [kinds >= 2, (hits > 0) & (100 * hits >= n), addressed, hits > kinds, hits == 0]
-        out = [pair] + [np.stack([np.flatnonzero(f), np.full(int(f.sum()), len(self.lexicon) + k)], 1) for k, f in enumerate(flags)]
-        v = voc[codes] if len(codes) else np.zeros(0, np.int64)
-        p = np.flatnonzero(v >= 0)
-        out.append(np.unique(np.stack([at[p], v[p] + len(self.lexicon) + len(PATTERNS)], 1), axis=0) if len(p) else np.zeros((0, 2), np.int64))
-        both = np.concatenate(out)
-        return both[:, 0], both[:, 1]
+        first = LEVELS * len(self.terms)
+        row = np.concatenate([row, *[np.flatnonzero(f) for f in flags]])
+        feature = np.concatenate([which * LEVELS + level, *[np.full(int(f.sum()), first + k) for k, f in enumerate(flags)]])
+        return row, feature
 
 
 def label_model(votes: np.ndarray, prior: float, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of class 1 for rows of ``votes`` (1, 0 harmless, -1 abstains), and each voter's weight.
 
-    Voters are independent given the class but for found correlations: voters whose residual votes correlate above 0.3
-    count as one, each with the inverse of its number of such fellows as its weight.
+    Voters are independent given the class but for found correlations: a voter's weight is the inverse of the number of
+    voters whose votes, less what the classes explain, correlate with its own above 0.2.
     """
     n, m = votes.shape
     weight = np.ones(m)
@@ -102,7 +121,7 @@ def label_model(votes: np.ndarray, prior: float, steps: int = 50) -> tuple[np.nd
             rest = fired - expected
             rest -= rest.mean(0)
             scale = np.sqrt((rest**2).sum(0)) + 1e-6
-            correlated = np.abs((rest.T @ rest) / np.outer(scale, scale)) > 0.3
+            correlated = np.abs((rest.T @ rest) / np.outer(scale, scale)) > 0.2
             weight = 1.0 / np.maximum(1, correlated.sum(1))
     return post, weight
 
@@ -122,42 +141,54 @@ def fit_linear(rows: np.ndarray, columns: np.ndarray, shape: tuple[int, int], ta
     return w, b
 
 
-def _word_counts(sample: DataFrame) -> DataFrame:
-    """Texts of each label that contain a word: (word, n0, n1)."""
+def _term_counts(sample: DataFrame) -> DataFrame:
+    """Texts of each label in which a term reaches a level: (term, level, n0, n1)."""
 
     def run(batches):
         for big in batches:
-            for k in range(0, big.num_rows, 2000):
-                batch = big.slice(k, 2000)
+            for k in range(0, big.num_rows, 1000):
+                batch = big.slice(k, 1000)
                 words = Words(batch.column(0))
                 label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                normal = _normal(words)
                 ids: dict[str, int] = {}
-                codes = np.array([ids.setdefault(w, len(ids)) for w in normal] or [0])[words.codes]
-                key = np.unique(words.rows() * max(1, len(ids)) + codes)
-                row, word = key // max(1, len(ids)), key % max(1, len(ids))
-                n1 = np.bincount(word, label[row] if len(row) else None, len(ids)).astype(np.int64)
-                n = np.bincount(word, minlength=len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(list(ids), pa.string()), pa.array(n - n1), pa.array(n1)], ["word", "n0", "n1"])
+                place, term = _spread(words, [[ids.setdefault(t, len(ids)) for t in _terms(w)] for w in _normal(words)])
+                row, which, level = _levels(words.rows()[place], term, len(ids), words.counts())
+                key = which * LEVELS + level
+                n = np.bincount(key, minlength=len(ids) * LEVELS)
+                n1 = np.bincount(key, label[row] if len(row) else None, len(ids) * LEVELS).astype(np.int64)
+                seen = np.flatnonzero(n)
+                names = pa.array(list(ids), pa.string()).take(pa.array(seen // LEVELS))
+                yield pa.RecordBatch.from_arrays([names, pa.array((seen % LEVELS).astype(np.int32)), pa.array((n - n1)[seen]), pa.array(n1[seen])], ["term", "level", "n0", "n1"])
 
-    return sample.select("text", "label").mapInArrow(run, "word string, n0 long, n1 long").where("word <> ''").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return sample.select("text", "label").mapInArrow(run, "term string, level int, n0 long, n1 long").groupBy("term", "level").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 class ToxicModel:
-    def __init__(self, lexicon, vocabulary, weights, bias):
-        self.lexicon, self.vocabulary, self.weights, self.bias = lexicon, vocabulary, weights, bias
+    def __init__(self, terms: list[str], lexicon: int, weights: np.ndarray, bias: float):
+        self.terms, self.lexicon, self.weights, self.bias = terms, lexicon, weights, bias
 
     def scorer(self):
-        measure = Measure(self.lexicon, self.vocabulary)
+        measure = Measure(self.terms, self.lexicon)
 
         def score(texts) -> np.ndarray:
-            row, column = measure(texts)
-            return 1 / (1 + np.exp(-np.clip(self.bias + np.bincount(row, self.weights[column], len(texts)), -30, 30)))
+            row, feature = measure(texts)
+            return 1 / (1 + np.exp(-np.clip(self.bias + np.bincount(row, self.weights[feature], len(texts)), -30, 30)))
 
         return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id", max_train: int = 20_000, induced: int = 64, words: int = 256) -> ToxicModel:
+def _chosen(rows: list, most: int, taken: list[str]) -> list[str]:
+    """Terms of ``rows`` in order, without those that stand in the same texts as a shorter form already chosen."""
+    seen, out = set(), []
+    for r in rows:
+        kind = (r["n0"], r["n1"], r["term"].lstrip("^")[: STEMS[0]])
+        if r["term"] not in taken and r["term"] not in out and kind not in seen and len(out) < most:
+            seen.add(kind)
+            out.append(r["term"])
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id", max_train: int = 20_000, induced: int = 96, words: int = 320) -> ToxicModel:
     known = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
     chosen = known.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "label").limit(max_train)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -165,37 +196,48 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ones, total = sample.agg(F.sum("label"), F.count("*")).first()
     ones, total = ones or 0, total or 0
     prior = min(0.9, max(0.01, (ones + 1) / (total + 10)))
-    counts = settle(_word_counts(sample).where("n0 + n1 >= 3"))
-    share0, share1 = F.col("n0") / max(1, total - ones), F.col("n1") / max(1, ones)
-    precise = counts.where((F.col("n1") >= 5) & (share1 >= 0.02) & (F.col("n1") * 10 >= (F.col("n0") + F.col("n1")) * 9) & (share1 >= 30 * share0))
-    lexicon = list(dict.fromkeys([*LEXICON, *[r["word"] for r in precise.orderBy(share1.desc(), "word").limit(induced).collect()]]))
-    spread = counts.orderBy(F.abs(share1 - share0).desc(), "word").limit(words + len(lexicon)).collect()
-    vocabulary = [r["word"] for r in spread if r["word"] not in set(lexicon)][:words]
+    counts = settle(_term_counts(sample).where("n0 + n1 >= 5"))
+    share0, share1 = (F.col("n0") + 0.5) / (total - ones + 1), (F.col("n1") + 0.5) / (ones + 1)
+    precise = counts.where((F.col("n1") >= 5) & (F.col("n1") * 10 >= (F.col("n0") + F.col("n1")) * 6) & (share1 >= 8 * share0))
+    lexicon = list(LEXICON)
+    voters = precise.orderBy(F.col("n1").desc(), "n0", F.length("term"), "term", "level").limit(8 * induced).collect()
+    lexicon += _chosen(voters, induced, lexicon)
+    # What separates the labels best, by the signed square root of the likelihood ratio's main term.
+    spread = counts.orderBy((F.abs(share1 - share0) / F.sqrt(share1 + share0)).desc(), F.length("term"), "term", "level").limit(8 * words).collect()
+    terms = lexicon + _chosen(spread, words, lexicon)
+    level_of = {}
+    for r in voters:
+        level_of.setdefault(r["term"], r["level"])
 
     def run(batches):
-        measure = Measure(lexicon, vocabulary)
+        measure = Measure(terms, len(lexicon))
         for big in batches:
             for k in range(0, big.num_rows, 2000):
                 batch = big.slice(k, 2000)
-                row, column = measure(batch.column(0))
+                row, feature = measure(batch.column(0))
                 order = np.argsort(row, kind="stable")
                 ends = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(column[order], pa.int32()))], ["f"])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature[order], pa.int32())), batch.column(1)], ["f", "label"])
 
-    got = sample.orderBy("id", "label").select("text").mapInArrow(run, "f array<int>").limit(max_train).collect()
-    n, m = len(got), len(lexicon) + len(PATTERNS) + len(vocabulary)
-    rows = np.repeat(np.arange(n), [len(r["f"]) for r in got]).astype(np.int64)
-    columns = np.array([c for r in got for c in r["f"]], dtype=np.int64)
-    votes = np.full((n, len(lexicon) + len(PATTERNS)), -1, np.int8)
-    voter = columns < votes.shape[1]
-    votes[rows[voter], columns[voter]] = 1
-    votes[:, -1] = np.where(votes[:, -1] == 1, 0, -1)  # no_hit votes harmless
+    got = sample.orderBy("id", "label").select("text", "label").mapInArrow(run, "f array<int>, label int").limit(max_train).collect()
+    n, m = len(got), LEVELS * len(terms) + len(PATTERNS)
     if n == 0:
         weights = np.zeros(m)
-        weights[: len(lexicon)] = 6.0
-        return ToxicModel(lexicon, vocabulary, weights, -3.0)
+        weights[: LEVELS * len(lexicon) : LEVELS] = 6.0
+        return ToxicModel(terms, len(lexicon), weights, -3.0)
+    rows = np.repeat(np.arange(n), [len(r["f"]) for r in got]).astype(np.int64)
+    features = np.array([c for r in got for c in r["f"]], dtype=np.int64)
+    voter_of = np.full(m, -1)
+    for k, term in enumerate(lexicon):
+        voter_of[LEVELS * k + level_of.get(term, 0)] = k
+    voter_of[m - len(PATTERNS) :] = len(lexicon) + np.arange(len(PATTERNS))
+    votes = np.full((n, len(lexicon) + len(PATTERNS) + 1), -1, np.int8)
+    casts = voter_of[features] >= 0
+    votes[rows[casts], voter_of[features[casts]]] = 1
+    votes[:, -2] = np.where(votes[:, -2] == 1, 0, -1)  # no_hit votes harmless
+    votes[:, -1] = [r["label"] for r in got]  # the annotator is a voter like the others, and may err
     post, _ = label_model(votes, prior)
-    return ToxicModel(lexicon, vocabulary, *fit_linear(rows, columns, (n, m), post))
+    return ToxicModel(terms, len(lexicon), *fit_linear(rows, features, (n, m), post))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **options) -> DataFrame:

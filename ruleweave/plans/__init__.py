@@ -1,0 +1 @@
+"""Plans of the rule and graph engine."""

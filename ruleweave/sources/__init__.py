@@ -1,0 +1 @@
+"""Sources of the rule and graph engine."""

@@ -1,0 +1 @@
+"""Streaming of the rule and graph engine."""

@@ -17,6 +17,7 @@ found by one shuffle of 5-byte block keys. In detail:
   connected families of these are compared within memory, in chunks of bounded size, by sketches of a few thousand bits
   and exactly where the sketches allow a link; a pair already in one component is skipped. So no large group is ever
   expanded into its pairs, and no link between different components is lost.
+* Before sets are gathered, all candidates are tried by short sketches, which each class has had from the first pass.
 
 All candidates are verified on whole sets. Sets are known by a 64-bit hash of their members, so exact copies are one
 class. Cases: null and empty texts have an empty set, linked with nothing; a null id never names a component and gets
@@ -113,6 +114,22 @@ def block_keys(s: np.ndarray, heavy: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
+def sketch(s: np.ndarray, most: int) -> np.ndarray:
+    """Parity bits of a set, in words of 64: four times as many bits as the bound on the difference, or more."""
+    bits = 1 << max(7, min(16, (4 * most).bit_length()))
+    odd = np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(_U)
+
+
+def hamming(x: np.ndarray, y: np.ndarray) -> int:
+    """Distance of two sketches; a longer one is first folded, which keeps the parities."""
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def _sets(texts, width: int):
     """(sorted distinct shingles, class hash) for each text of an Arrow array; an empty set has class None."""
     flat, starts = shingles(Words(texts, lower=True), width)
@@ -131,28 +148,33 @@ def _parts(batches, rows: int = 1000):
             yield batch.slice(k, rows)
 
 
-def class_rows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Settled rows (id, n_shingles, cls), and rows (heavy, times) of shingles met twice or more in one batch of texts."""
+def class_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """Settled rows (id, n_shingles, cls, sk), and rows (heavy, times) of shingles met twice or more in one batch of texts.
+
+    The sketch ``sk`` is given with the first row of a class in a batch.
+    """
+    bands = Bands(percent, 1)
 
     def run(batches):
         for batch in _parts(batches, 2000):
-            n, cls, new = [], [], {}
+            n, cls, sk, new = [], [], [], {}
             for s, c in _sets(batch.column(1), width):
                 n.append(len(s))
                 cls.append(c)
+                sk.append(None if c is None or c in new else sketch(s, bands.most(2 * len(s))).tobytes())
                 if c is not None:
                     new[c] = s
-            names = ["id", "n_shingles", "cls", "heavy", "times"]
+            names = ["id", "n_shingles", "cls", "sk", "heavy", "times"]
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sk, pa.binary()), none, none], names)
             if new:
                 h, times = np.unique(np.concatenate(list(new.values())), return_counts=True)
                 h, times = h[times > 1], times[times > 1]
                 none = pa.nulls(len(h), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(h), batch.column(0).type), none, none, pa.array(h.view(np.int64)), pa.array(times.astype(np.int64))], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(h), batch.column(0).type), none, none, pa.nulls(len(h), pa.binary()), pa.array(h.view(np.int64)), pa.array(times.astype(np.int64))], names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return settle(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, cls long, heavy long, times long"))
+    return settle(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, cls long, sk binary, heavy long, times long"))
 
 
 def _send(docs: DataFrame, text_col: str, width: int, heavy, bands: Bands, parts: int) -> DataFrame:
@@ -292,6 +314,20 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def possible(pairs: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
+    """Settled pairs whose sketches are near enough for a link."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, m, n, x, y = (c.to_pylist() for c in batch.columns)
+            ok = [hamming(np.frombuffer(x[k], _U), np.frombuffer(y[k], _U)) <= bands.most(m[k] + n[k]) for k in range(len(a))]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    left = sketches.select(F.col("cls").alias("a"), F.col("n").alias("m"), F.col("sk").alias("x"))
+    right = sketches.select(F.col("cls").alias("b"), "n", F.col("sk").alias("y"))
+    return settle(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -304,23 +340,43 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _near(sketches: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, bands: Bands):
+    """(k, places after k that may link with k) for sets in order of size; across sides only, if there are two."""
+    across = len(np.unique(side)) > 1
+
+    def folded(x, words):
+        while len(x) > words:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        return x
+
+    k = 0
+    while k < len(sketches):
+        # Sets of the same sketch length, and the larger ones that can link with them, at that length.
+        words, end = len(sketches[k]), k
+        while end < len(sketches) and len(sketches[end]) <= words:
+            end += 1
+        last = int(np.searchsorted(sizes, sizes[end - 1] * 100 // bands.percent, side="right"))
+        block = np.stack([folded(x, words) for x in sketches[k:last]])
+        for i in range(k, end):
+            stop = int(np.searchsorted(sizes, sizes[i] * 100 // bands.percent, side="right"))
+            if stop <= i + 1:
+                continue
+            far = np.bitwise_count(block[i + 1 - k : stop - k] ^ block[i - k]).sum(axis=1, dtype=np.int64)
+            ok = far <= bands.most(sizes[i + 1 : stop] + sizes[i])
+            if across:
+                ok &= side[i + 1 : stop] != side[i]
+            yield i, np.flatnonzero(ok) + i + 1
+        k = end
+
+
 def spanning_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, bands: Bands) -> list[tuple[int, int]]:
     """Links that join all that is linked among ``sets``; where ``side`` has two values, only pairs across them count."""
     order = np.argsort([len(s) for s in sets], kind="stable")
     ids, side, sets = ids[order], side[order], [sets[k] for k in order]
     sizes = np.array([len(s) for s in sets])
-    across = len(np.unique(side)) > 1
-    bits = 1 << int(max(1024, min(65536, 4 * bands.most(2 * int(sizes[-1]))))).bit_length()
-    sketch = np.zeros((len(sets), bits // 64), _U)
-    for k, s in enumerate(sets):
-        at = (s & _U(bits - 1)).astype(np.int64)
-        odd = np.flatnonzero(np.bincount(at, minlength=bits) & 1)
-        np.bitwise_or.at(sketch[k], odd >> 6, _U(1) << (odd & 63).astype(_U))
     label, out = np.arange(len(sets)), []
-    for k in range(len(sets) - 1):
-        end = int(np.searchsorted(sizes, sizes[k] * 100 // bands.percent, side="right"))
-        near = np.bitwise_count(sketch[k + 1 : end] ^ sketch[k]).sum(axis=1, dtype=np.int64) <= bands.most(sizes[k + 1 : end] + sizes[k])
-        todo = np.flatnonzero(near & (label[k + 1 : end] != label[k]) & ((side[k + 1 : end] != side[k]) if across else True)) + k + 1
+    for k, todo in _near([sketch(s, bands.most(2 * len(s))) for s in sets], sizes, side, bands):
+        todo = todo[label[todo] != label[k]]
         while len(todo):
             j = todo[0]
             if linked(sets[k], sets[j], bands.percent):
@@ -332,24 +388,44 @@ def spanning_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, ba
     return out
 
 
-def family_links(stars: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """Links within the connected families of ``stars`` (a, b), compared chunk by chunk."""
-    families = connected_components(stars).select(F.col("node").alias("cls"), F.col("component").alias("family"))
-    members = settle(families.join(sets.select("cls", F.octet_length("data").alias("bytes")), "cls"))
-    chunks = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("bytes") / CHUNK_BYTES)).cast("int").alias("chunks"))
+def _dealt(members: DataFrame, size: str) -> DataFrame:
+    """Rows (family, cls, chunk, i, j) of members with bytes ``size``: chunk c takes part in the comparisons (i, j), i <= j, with i = c or j = c."""
+    chunks = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum(size) / CHUNK_BYTES)).cast("int").alias("chunks"))
     rows = members.join(chunks, "family").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
-    # A member of chunk c takes part in the comparisons (i, j), i <= j, with i = c or j = c.
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = rows.withColumn("other", other).select("family", "cls", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")).join(sets, "cls")
+    return rows.withColumn("other", other).select("family", "cls", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+
+
+def families(stars: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
+    """Settled rows (family, cls): the members of connected families whose sketches allow a link with another member."""
+    found = connected_components(stars).select(F.col("node").alias("cls"), F.col("component").alias("family"))
+    members = settle(found.join(sketches.select("cls", F.octet_length("sk").alias("bytes")), "cls"))
+    dealt = _dealt(members, "bytes").join(sketches, "cls")
+
+    def run(table: pa.Table) -> pa.Table:
+        n, cls, chunk = (table.column(c).to_numpy() for c in ("n", "cls", "chunk"))
+        alive = np.zeros(len(n), bool)
+        if table.column("i")[0].as_py() == table.column("j")[0].as_py() or len(np.unique(chunk)) > 1:
+            order = np.argsort(n, kind="stable")
+            sk = [np.frombuffer(x, _U) for x in table.column("sk").to_pylist()]
+            for k, near in _near([sk[o] for o in order], n[order], chunk[order], bands):
+                if len(near):
+                    alive[order[k]] = True
+                    alive[order[near]] = True
+        return pa.table({"family": table.column("family").filter(pa.array(alive)), "cls": pa.array(cls[alive])})
+
+    return settle(dealt.groupBy("family", "i", "j").applyInArrow(run, "family long, cls long").distinct())
+
+
+def family_links(members: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """Links within families, compared chunk by chunk on whole sets."""
+    dealt = _dealt(members.join(sets.select("cls", F.octet_length("data").alias("bytes")), "cls"), "bytes").join(sets, "cls")
 
     def run(table: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(x, _U) for x in table.column("data").to_pylist()]
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         chunk = table.column("chunk").to_numpy()
-        if i != j and len(np.unique(chunk)) < 2:
-            found = []
-        else:
-            found = spanning_links(table.column("cls").to_numpy(), sets, chunk, bands)
+        found = []
+        if table.column("i")[0].as_py() == table.column("j")[0].as_py() or len(np.unique(chunk)) > 1:
+            found = spanning_links(table.column("cls").to_numpy(), [np.frombuffer(x, _U) for x in table.column("data").to_pylist()], chunk, bands)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return dealt.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
@@ -358,7 +434,7 @@ def family_links(stars: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links of ``percent`` Jaccard)."""
     spark = docs.sparkSession
-    every = class_rows(docs, id_col, text_col, width)
+    every = class_rows(docs, id_col, text_col, width, percent)
     rows = every.where("n_shingles is not null").select("id", "n_shingles", "cls")
     total, largest = rows.agg(F.sum("n_shingles"), F.max("n_shingles")).first()
     total, largest = total or 0, largest or 0
@@ -368,9 +444,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     frequent = np.sort(np.array([r["heavy"] for r in heavy.select("heavy").collect()], np.int64).view(_U))
     bands = Bands(percent, largest)
     found = candidates(docs, text_col, width, spark.sparkContext.broadcast(frequent), bands, total)
-    sets = set_rows(docs, text_col, width, found.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-    pairs, stars = found.where("kind = 0"), found.where("kind = 1")
-    links = settle(verified(pairs, sets, percent).unionByName(family_links(stars, sets, bands)))
+    met = found.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sketches = settle(every.where("sk is not null").select("cls", F.col("n_shingles").alias("n"), "sk").dropDuplicates(["cls"]).join(met, "cls", "left_semi"))
+    pairs = possible(found.where("kind = 0"), sketches, bands)
+    members = families(found.where("kind = 1"), sketches, bands)
+    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(members.select("cls")).distinct())
+    sets = set_rows(docs, text_col, width, wanted)
+    links = settle(verified(pairs, sets, percent).unionByName(family_links(members, sets, bands)))
     classes = connected_components(links).select(F.col("node").alias("cls"), "component")
     # Ids by class first, so that a class with very many copies is one row in what follows.
     named = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least")).join(classes, "cls", "left").withColumn("component", F.coalesce("component", "cls"))

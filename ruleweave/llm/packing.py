@@ -18,9 +18,11 @@ import os
 import zlib
 from collections import defaultdict
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from ruleweave.llm.common import settle
 from ruleweave.llm.textbatch import Words
 
-CACHED = 400_000
+CACHED = 800_000
 #: Pieces of a length that share a salt, and the most salts of a length.
 SALTED, SALTS = 20_000, 4096
 
@@ -75,36 +77,64 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _gather(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``picks`` of a ragged array end to end, and their sizes."""
+    many = sizes[picks]
+    ends = np.cumsum(many)
+    return flat[np.repeat(first[picks] - (ends - many), many) + np.arange(int(many.sum()))], many
+
+
 class Encoder:
-    """Ids of whole texts by a tokenizer that drops white space and never merges across it.
+    """Ids of whole texts by a tokenizer that drops white space, lower-cases, and never merges across words and marks.
 
-    Such a tokenizer gives a text the ids of its white-space separated parts in turn, so each distinct part is encoded
-    once and remembered (up to ``CACHED`` of them).
+    Such a tokenizer gives a text the ids of its white-space separated parts in turn, and a part that is a word with
+    ASCII marks (no apostrophe) behind it the ids of word and marks. Each distinct word or run of marks is encoded once
+    and remembered (up to ``CACHED``). Parts that may hold a special string are encoded as they stand.
     """
 
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.known: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _learn(self, units: list[str]) -> None:
+        new = list(dict.fromkeys(u for u in units if u not in self.known))
+        if len(self.known) + len(new) > CACHED and self.known:
+            self.forget()
+            new = list(dict.fromkeys(units))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        for k in range(0, len(new), 50_000):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(new[k : k + 50_000], add_special_tokens=False)]
+            sizes = np.array([len(x) for x in got], dtype=np.int64)
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))])
+            self.sizes = np.concatenate([self.sizes, sizes])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) end to end, and where each text starts (one more than texts)."""
         words = Words(texts)
-        parts = words.vocabulary.to_pylist()
-        if len(self.known) > CACHED:
-            self.known.clear()
-        new = [p for p in parts if p not in self.known]
-        for k in range(0, len(new), 50_000):
-            some = new[k : k + 50_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, dtype=np.uint32)
-        ids = [self.known[p] for p in parts]
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        first = np.cumsum(sizes) - sizes
-        many = sizes[words.codes] if len(sizes) else np.zeros(0, np.int64)
-        ends = np.cumsum(many)
-        out = flat[np.repeat(first[words.codes] - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)] if len(ids) else flat
-        return out, np.concatenate([[0], ends])[words.starts]
+        if not len(words.codes):
+            return np.zeros(0, np.uint32), words.starts * 0
+        special = pc.match_substring(words.vocabulary, "<|")
+        parts = pc.if_else(special, words.vocabulary, pc.ascii_lower(words.vocabulary)).to_pylist()
+        units, many = [], np.ones(len(parts), np.int64)
+        for k, (part, whole) in enumerate(zip(parts, special.to_pylist(), strict=True)):
+            core = part.rstrip(self.MARKS)
+            if whole or not core or len(core) == len(part) or not core[-1].isalnum():
+                units.append(part)
+            else:
+                units += (core, part[len(core) :])
+                many[k] = 2
+        self._learn(units)
+        at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        ids, n = _gather(self.ids, np.cumsum(self.sizes) - self.sizes, self.sizes, at)
+        sizes = np.add.reduceat(n, np.cumsum(many) - many)  # of each part
+        out, n = _gather(ids, np.cumsum(sizes) - sizes, sizes, words.codes)
+        return out, np.concatenate([[0], np.cumsum(n)])[words.starts]
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,6 +31,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +43,6 @@ HEAVY = 1_000_000
 PAIRS_UP_TO = 8
 KEYS_PER_TASK = 1_500_000
 CHUNK_SETS, CHUNK_BYTES = 4096, 64 << 20
-#: Class hashes sent to every executor (8 bytes each); beyond it texts are shuffled to their classes.
-BROADCAST_CLASSES = 1_000_000
 _U = np.uint64
 
 
@@ -149,32 +148,34 @@ def _parts(batches, rows: int = 1000):
 
 
 def class_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """Settled rows (id, n_shingles, cls, sk), and rows (heavy, times) of shingles met twice or more in one batch of texts.
+    """Settled rows (id, n_shingles, cls, sk, t), and rows (heavy, times) of shingles met twice or more in one batch of texts.
 
-    The sketch ``sk`` is given with the first row of a class in a batch.
+    The sketch ``sk`` and the text's hash ``t`` are given with the first row of a class in a batch.
     """
     bands = Bands(percent, 1)
 
     def run(batches):
         for batch in _parts(batches, 2000):
-            n, cls, sk, new = [], [], [], {}
+            n, cls, sk, first, new = [], [], [], [], {}
             for s, c in _sets(batch.column(1), width):
                 n.append(len(s))
                 cls.append(c)
-                sk.append(None if c is None or c in new else sketch(s, bands.most(2 * len(s))).tobytes())
+                first.append(c is not None and c not in new)
+                sk.append(sketch(s, bands.most(2 * len(s))).tobytes() if first[-1] else None)
                 if c is not None:
                     new[c] = s
-            names = ["id", "n_shingles", "cls", "sk", "heavy", "times"]
+            names = ["id", "n_shingles", "cls", "sk", "t", "heavy", "times"]
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sk, pa.binary()), none, none], names)
+            t = pc.if_else(pa.array(first, pa.bool_()), batch.column(2), pa.scalar(None, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sk, pa.binary()), t, none, none], names)
             if new:
                 h, times = np.unique(np.concatenate(list(new.values())), return_counts=True)
                 h, times = h[times > 1], times[times > 1]
                 none = pa.nulls(len(h), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(h), batch.column(0).type), none, none, pa.nulls(len(h), pa.binary()), pa.array(h.view(np.int64)), pa.array(times.astype(np.int64))], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(h), batch.column(0).type), none, none, pa.nulls(len(h), pa.binary()), none, pa.array(h.view(np.int64)), pa.array(times.astype(np.int64))], names)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return settle(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, cls long, sk binary, heavy long, times long"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+    return settle(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, cls long, sk binary, t long, heavy long, times long"))
 
 
 def _send(docs: DataFrame, text_col: str, width: int, heavy, bands: Bands, parts: int) -> DataFrame:
@@ -278,35 +279,20 @@ def candidates(docs: DataFrame, text_col: str, width: int, heavy, bands: Bands,
 
 
 def set_rows(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
-    """Settled rows (cls, data): the sorted sets of the classes in ``wanted`` (cls), once each."""
-    rows = wanted.count()
-    known = None
-    if rows <= BROADCAST_CLASSES:
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["cls"] for r in wanted.collect()], np.int64)))
+    """Settled rows (cls, data): the sorted sets of the classes in ``wanted`` (cls, t), once each.
+
+    ``t`` is the hash of one text of the class, so only these texts are read by Python; a further text of equal hash does
+    no harm, since classes are computed from the texts again.
+    """
 
     def run(batches):
         for batch in _parts(batches):
-            found = {}
-            for k, (s, c) in enumerate(_sets(batch.column(0), width)):
-                if c is None:
-                    continue
-                if known is None:
-                    found[c] = batch.column(0)[k].as_py().encode()
-                else:
-                    at = np.searchsorted(known.value, c)
-                    if at < len(known.value) and known.value[at] == c:
-                        found[c] = s.tobytes()
+            found = {c: s.tobytes() for s, c in _sets(batch.column(0), width) if c is not None}
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["cls", "data"])
 
-    def of_text(batches):
-        for batch in _parts(batches):
-            texts = batch.column(1).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s, _ in _sets(texts, width)], pa.binary())], ["cls", "data"])
-
-    got = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "cls long, data binary")
-    if known is None:
-        got = got.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]).mapInArrow(of_text, "cls long, data binary")
-    return settle(got.dropDuplicates(["cls"]))
+    # Beyond the broadcast limit this is a shuffled join, whose hot texts adaptive execution splits.
+    texts = docs.select(F.col(text_col).alias("text")).join(small(wanted.select("t").distinct()), F.xxhash64("text") == F.col("t"), "left_semi")
+    return settle(texts.mapInArrow(run, "cls long, data binary").dropDuplicates(["cls"]))
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -445,10 +431,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = Bands(percent, largest)
     found = candidates(docs, text_col, width, spark.sparkContext.broadcast(frequent), bands, total)
     met = found.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    sketches = settle(every.where("sk is not null").select("cls", F.col("n_shingles").alias("n"), "sk").dropDuplicates(["cls"]).join(met, "cls", "left_semi"))
+    sketches = settle(every.where("sk is not null").select("cls", F.col("n_shingles").alias("n"), "sk", "t").dropDuplicates(["cls"]).join(met, "cls", "left_semi"))
     pairs = possible(found.where("kind = 0"), sketches, bands)
     members = families(found.where("kind = 1"), sketches, bands)
-    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(members.select("cls")).distinct())
+    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(members.select("cls")).distinct().join(sketches.select("cls", "t"), "cls"))
     sets = set_rows(docs, text_col, width, wanted)
     links = settle(verified(pairs, sets, percent).unionByName(family_links(members, sets, bands)))
     classes = connected_components(links).select(F.col("node").alias("cls"), "component")

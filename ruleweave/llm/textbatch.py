@@ -65,9 +65,16 @@ def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
         return out, starts
     row = np.repeat(np.arange(len(n)), windows)
     at = words.starts[:-1][row] + np.arange(total) - starts[:-1][row]
-    left = n[row] - (at - words.starts[:-1][row])  # words from here to the end of the row
+    if len(h) >= width:  # a hash for each place of the batch, of which those within a row are taken
+        every = np.zeros(len(h) - width + 1, _U)
+        for k in range(width):
+            every = mix(every * _U(0x9E3779B97F4A7C15) + h[k : k + len(every)] + _U(k + 1))
+        out = every[np.minimum(at, len(every) - 1)]
+    short = np.flatnonzero(n[row] < width)
+    at, left = at[short], n[row[short]]
+    part = np.zeros(len(short), _U)
     for k in range(width):
-        inside = left > k
-        nxt = np.where(inside, h[np.minimum(at + k, len(h) - 1)], _U(0))
-        out = np.where(inside, mix(out * _U(0x9E3779B97F4A7C15) + nxt + _U(k + 1)), out)
+        nxt = h[np.minimum(at + k, len(h) - 1)]
+        part = np.where(left > k, mix(part * _U(0x9E3779B97F4A7C15) + nxt + _U(k + 1)), part)
+    out[short] = part
     return out, starts

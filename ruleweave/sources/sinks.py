@@ -1,4 +1,4 @@
-"""Writers: Turtle, N-Triples and result JSON, as one text line for each subject, triple or solution."""
+"""Writers: Turtle, N-Triples, RDF/XML and result JSON, as one text line for each subject, triple or solution."""
 
 from __future__ import annotations
 
@@ -28,6 +28,28 @@ def ntriples(triples: DataFrame, base: str) -> DataFrame:
     return triples.select(F.concat_ws(" ", full("s"), full("p"), _object(base), F.lit(".")).alias("line"))
 
 
+def rdf_xml(triples: DataFrame, base: str) -> DataFrame:
+    """(s, block): one description element for each subject, for a document whose default namespace is ``base#``.
+
+    The document's root is ``rdf_xml_root(base)``.
+    """
+    xml = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    full = lambda c: xml(F.when(F.contains(c, F.lit(":")), c).otherwise(F.concat(F.lit(f"{base}#"), c)))
+    kind = F.regexp_replace("datatype", "^xsd:", "http://www.w3.org/2001/XMLSchema#")
+    attribute = F.when(F.col("lang").isNotNull(), F.concat(F.lit(' xml:lang="'), "lang", F.lit('"'))).when(F.coalesce("datatype", F.lit("xsd:string")) == "xsd:string", "").otherwise(F.concat(F.lit(' rdf:datatype="'), xml(kind), F.lit('"')))
+    literal = F.concat(F.lit("<"), "p", attribute, F.lit(">"), xml(F.col("o")), F.lit("</"), "p", F.lit(">"))
+    link = F.concat(F.lit("<"), "p", F.lit(' rdf:resource="'), full(F.col("o")), F.lit('"/>'))
+    parts = triples.where("s is not null and p is not null and o is not null").select("s", F.when(F.col("o_kind") == "iri", link).otherwise(literal).alias("x"))
+    inner = F.array_join(F.array_sort(F.collect_set("x")), "\n  ")
+    return parts.groupBy("s").agg(inner.alias("x")).select("s", F.concat(F.lit('<rdf:Description rdf:about="'), full(F.col("s")), F.lit('">\n  '), "x", F.lit("\n</rdf:Description>")).alias("block"))
+
+
+def rdf_xml_root(base: str, prefixes: dict[str, str] | None = None) -> tuple[str, str]:
+    """Opening and closing tag around the blocks of ``rdf_xml``; ``prefixes`` names those of the predicates but rdf."""
+    more = "".join(f' xmlns:{k}="{v}"' for k, v in (prefixes or {}).items())
+    return f'<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="{base}#"{more}>', "</rdf:RDF>"
+
+
 def solutions_json(rows: DataFrame) -> DataFrame:
     """One JSON object for each solution; unbound variables are absent."""
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "true"}).alias("line"))

@@ -1,9 +1,11 @@
+from xml.etree import ElementTree
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from ruleweave.functions import text as T
-from ruleweave.operators import evaluate, graph, resolve, rules
+from ruleweave.operators import evaluate, graph, norms, resolve, rules
 from ruleweave.operators.bgp import path
 from ruleweave.operators.triples import abox
 from ruleweave.plans.presets import PRESETS
@@ -116,3 +118,28 @@ def test_against_sql(spark, name):
     assert columns == sorted(want.columns)
     tidy = lambda rows: sorted((tuple(f"{v:.9g}" if isinstance(v, float) else v for v in r) for r in rows), key=repr)
     assert tidy([tuple(r[c] for c in columns) for r in frame.collect()]) == tidy(want.select(*[f'"{c}"' for c in columns]).fetchall())
+
+
+def test_norm_patch_counts_and_filter(spark):
+    rows = spark.createDataFrame([("A", "obligation", "x"), ("B", "Negativerecommendation", "y"), (None, None, "z")], "deontic_id string, norm_type string, agent string")
+    edits = spark.createDataFrame([("B", None, "new", "?"), ("C", "permission", "c", "?"), (None, "lost", "lost", "?")], "deontic_id string, norm_type string, agent string, other string")
+    out = norms.patch(rows, edits)
+    assert out.columns == rows.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([("A", "obligation", "x"), ("B", "Negativerecommendation", "new"), ("C", "permission", "c"), (None, None, "z")], key=str)
+    counts = norms.type_counts(out, {"negativerecommendation": "recommendation_not"})
+    assert {r["type"]: r["n"] for r in counts.collect()} == {"obligation": 1, "recommendation_not": 1, "permission": 1}
+    assert [r["deontic_id"] for r in rows.where(norms.has_text(F.lit(" OBLIGATION X"), "norm_type", "agent")).collect()] == ["A"]
+    assert norms.patch(rows.limit(0), edits.limit(0)).count() == 0
+
+
+def test_rdf_xml_is_read_back(spark):
+    schema = "s string, p string, o string, o_kind string, datatype string, lang string"
+    data = [("n1", "rdf:type", "Norm", "iri", None, None), ("n1", "text", 'a < b & "c"\n', "literal", "xsd:string", None), ("n1", "day", "2024-01-01", "literal", "xsd:date", None), ("n2", "label", "x", "literal", None, "en")]
+    blocks = sinks.rdf_xml(spark.createDataFrame(data, schema), "http://e.org/a").orderBy("s").collect()
+    first, last = sinks.rdf_xml_root("http://e.org/a")
+    root = ElementTree.fromstring("\n".join([first, *[r["block"] for r in blocks], last]))
+    rdf, own = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}", "{http://e.org/a#}"
+    n1, n2 = root
+    assert n1.get(f"{rdf}about") == "http://e.org/a#n1" and n1.find(f"{rdf}type").get(f"{rdf}resource") == "http://e.org/a#Norm"
+    assert n1.find(f"{own}text").text == data[1][2] and n1.find(f"{own}day").get(f"{rdf}datatype") == "http://www.w3.org/2001/XMLSchema#date"
+    assert n2.find(f"{own}label").get("{http://www.w3.org/XML/1998/namespace}lang") == "en"

@@ -1,7 +1,9 @@
 """The corpus pipeline: quality, boilerplate lines, near duplicates, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and is judged on its own input: what it reads of ``docs`` is all that its
-predecessor kept. All but the last return the columns of ``documents``.
+predecessor kept. All but the last return the columns of their ``docs``, whatever these are; columns that a stage doesn't
+name are carried along. Null and empty texts are documents like others, rows without an id are judged by their text
+alone, repeated rows go or stay together but where a stage says otherwise, and empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -12,26 +14,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleweave.llm import decontam, line_dedup, packing, parity_join, quality
-from ruleweave.llm.common import checkpoint_folder, small, table
+from ruleweave.llm.common import checkpoint_folder, settle, small, table
 from ruleweave.llm.queries import CAPACITY, END_ID, vocabulary
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject; without labels of both kinds, all scores are equal."""
     return quality.keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their boilerplate lines dropped and n_chars brought up to date."""
-    out = line_dedup.drop_boilerplate(docs).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
-    return out.select(*docs.columns)
+    """All documents, their boilerplate lines dropped and n_chars, where there is one, brought up to date."""
+    own = {c: f"_own_{c}" for c in docs.columns if c.lower() in ("n_lines", "n_dropped")}
+    out = line_dedup.drop_boilerplate(docs.withColumnsRenamed(own))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
+    return out.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group; documents without an id are kept."""
-    groups = parity_join.near_duplicates(docs)
-    extra = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(small(extra), "doc_id", "left_anti").select(*docs.columns)
+    """One document, the one with the smallest id, of each group, and one of the rows with its id and text.
+
+    Rows with one id are one document, which goes if any of them is in the group of a smaller id. Rows without an id stay.
+    """
+    groups = parity_join.near_duplicates(docs).where("doc_id is not null")
+    marks = groups.groupBy("doc_id").agg(F.max(F.col("component_id") < F.col("doc_id")).alias("gone"), F.count("*").alias("n"))
+    marks = settle(marks.where("gone or n > 1"))
+    kept = docs.join(small(marks.select("doc_id")), "doc_id", "left_anti")
+    again = marks.where("not gone").select("doc_id")
+    if (rows := again.count()) > 0:
+        kept = kept.unionByName(docs.join(small(again, rows), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -245,3 +245,26 @@ def test_pipeline_keeps_the_columns_and_one_of_each_group(spark):
     groups = parity_join.near_duplicates(docs)
     assert kept.columns == docs.columns and kept.count() == groups.select("component_id").distinct().count()
     assert corpus_pipeline.line_dedup_stage(spark, docs, "").count() == docs.count()
+
+
+def test_stages_take_any_table(spark, docs, empty, tmp_path):
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    spark.createDataFrame([(k, k % 2) for k in range(60)] + [(None, 1), (7, None)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "a null id"), (2, None), (3, texts()[30])], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    clash = {c: F.lit(c) for c in ("n_dropped", "N_lines", "component_id", "item", "length", "gone", "n", "score", "cls", "_own")}
+    odd = docs.withColumns(clash)
+    known = {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, folder)
+        rows = out.collect()
+        assert out.columns == odd.columns and rows and all(r[c] == c for r in rows for c in clash)
+        assert {r.doc_id for r in rows} <= set(known)
+        if name == "ngram_jaccard_join":
+            assert [r.doc_id for r in rows].count(0) == 1 and [r.doc_id for r in rows].count(None) == 1
+        if name == "benchmark_decontamination":
+            assert {d for d, t in known.items() if t == texts()[30]}.isdisjoint(r.doc_id for r in rows)
+        assert stage(spark, empty, folder).count() == 0
+    pack = corpus_pipeline.STAGES[-1][1]
+    assert pack(spark, odd, folder).where("piece = 0").count() == docs.count() and pack(spark, empty, folder).count() == 0

@@ -268,3 +268,11 @@ def test_stages_take_any_table(spark, docs, empty, tmp_path):
         assert stage(spark, empty, folder).count() == 0
     pack = corpus_pipeline.STAGES[-1][1]
     assert pack(spark, odd, folder).where("piece = 0").count() == docs.count() and pack(spark, empty, folder).count() == 0
+
+
+def test_pipeline_drops_a_line_on_a_tenth_of_a_large_host(spark):
+    import corpus_pipeline
+
+    rows = [(k, ("Header\n" if k % 10 == 0 else "") + ("Usual\n" if k % 25 == 0 else "") + f"body {k}", "h") for k in range(1000)]
+    out = by_id(corpus_pipeline.line_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), ""))
+    assert {k: r.text for k, r in out.items()} == {k: t.replace("Header\n", "") for k, t, _ in rows}

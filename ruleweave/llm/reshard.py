@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleweave.llm.common import settle
@@ -132,8 +132,9 @@ def cut_blocks(rows: DataFrame, shards: int, fine: int = 512, whole: int = 4) ->
 
 
 def reshard(docs: DataFrame, shards: int = 8, old_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", old_col: str | None = None, move_cost: list[list[int]] | None = None) -> DataFrame:
-    """One row per document: id, size, text_crc32, old_shard, shard, slot (gapless from 0 within the shard).
+    """One row per document: id, size, text_crc32, old_shard, shard, slot (gapless from 0 within the shard), text_hash, given_shard.
 
+    ``given_shard`` is what ``old_col`` says, else null. Rows that agree in id, text_hash and given_shard have the same shard.
     Without ``old_col`` the old layout is that of a hash of the block over ``old_shards`` shards.
     """
     spark = docs.sparkSession
@@ -154,7 +155,7 @@ def reshard(docs: DataFrame, shards: int = 8, old_shards: int = 8, id_col: str =
         at[k] += r["n"]
     placed = rows.join(F.broadcast(spark.createDataFrame(base, "unit long, old_shard int, shard int, base long")), ["unit", "old_shard"])
     slot = F.expr("base + row_number() over (partition by unit, old_shard order by id, text_crc32) - 1").cast("long")
-    return placed.select(F.col("id").alias(id_col), "size", "text_crc32", "old_shard", "shard", slot.alias("slot"))
+    return placed.select(F.col("id").alias(id_col), "size", "text_crc32", "old_shard", "shard", slot.alias("slot"), "text_hash", F.col("given").alias("given_shard"))
 
 
 def changed_shards(placed: DataFrame) -> list[int]:
@@ -164,12 +165,23 @@ def changed_shards(placed: DataFrame) -> list[int]:
     return sorted(r["k"] for r in both.collect())
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", only: list[int] | None = None) -> list[int]:
+def rewrite(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", only: list[int] | None = None, text_col: str = "text", old_col: str | None = None) -> list[int]:
     """Write documents into ``path``/shard=k for the shards in ``only`` (default: those that changed); returns them.
 
-    Other shards' files are left as they are (dynamic partition overwrite). ``docs`` must have distinct ids.
+    Other shards' files are left as they are (dynamic partition overwrite). ``docs``, ``text_col`` and ``old_col`` are those
+    that were placed. Each row takes a place of its own: null ids match each other, and the n-th of the rows with one id,
+    text and old shard takes the n-th of their places, which are all in one shard. A ``shard`` or ``slot`` of ``docs`` is
+    replaced; names that start with ``_rs_`` are reserved.
     """
     shards = changed_shards(placed) if only is None else only
-    rows = docs.join(placed.where(F.col("shard").isin(shards)).select(id_col, "shard", "slot"), id_col)
+    keys = ["_rs_id", "_rs_text", "_rs_old"]
+    copy = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    old = F.col(old_col).cast("int") if old_col else F.lit(None).cast("int")
+    rows = docs.withColumns({"_rs_id": F.col(id_col), "_rs_text": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), "_rs_old": old}).withColumn("_rs_copy", copy)
+    given = F.col("given_shard") if old_col else F.lit(None).cast("int")
+    places = placed.select(F.col(id_col).alias("_rs_id"), F.col("text_hash").alias("_rs_text"), given.alias("_rs_old"), "shard", "slot").withColumn("_rs_copy", copy)
+    places = places.where(F.col("shard").isin(shards)).withColumnsRenamed({k: f"{k}_at" for k in (*keys, "_rs_copy")})
+    match = [F.col(k).eqNullSafe(F.col(f"{k}_at")) for k in (*keys, "_rs_copy")]
+    rows = rows.drop("shard", "slot").join(places, match).select(*[c for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     return shards

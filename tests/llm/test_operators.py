@@ -276,3 +276,16 @@ def test_pipeline_drops_a_line_on_a_tenth_of_a_large_host(spark):
     rows = [(k, ("Header\n" if k % 10 == 0 else "") + ("Usual\n" if k % 25 == 0 else "") + f"body {k}", "h") for k in range(1000)]
     out = by_id(corpus_pipeline.line_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), ""))
     assert {k: r.text for k, r in out.items()} == {k: t.replace("Header\n", "") for k, t, _ in rows}
+
+
+def test_rewrite_writes_each_row_once(spark, docs, tmp_path):
+    odd = docs.withColumn("extra", F.col("n_words")).unionByName(docs.where("doc_id is null or doc_id < 9").withColumn("extra", F.lit(1).cast("long")), allowMissingColumns=True)
+    odd = odd.withColumn("shard", F.when(F.col("extra") == 1, 6).when(F.xxhash64("text") % 3 != 0, F.pmod(F.xxhash64("text"), F.lit(4)).cast("int"))).cache()
+    for old_col in (None, "shard"):
+        placed = reshard.reshard(odd, shards=4, old_col=old_col).cache()
+        out = str(tmp_path / str(old_col))
+        assert reshard.rewrite(odd, placed, out, only=[0, 1, 2, 3], old_col=old_col) == [0, 1, 2, 3]
+        written = spark.read.parquet(out)
+        same = [c for c in odd.columns if c != "shard"]
+        assert written.count() == odd.count() and written.select(same).exceptAll(odd.select(same)).isEmpty() and odd.select(same).exceptAll(written.select(same)).isEmpty()
+        assert written.select("doc_id", "shard", "slot").exceptAll(placed.select("doc_id", "shard", "slot")).isEmpty()

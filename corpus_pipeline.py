@@ -39,17 +39,21 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group, and one of the rows with its id and text.
+    """One row of each group of texts: of the smallest id, of several texts with that id the one with the least hash.
 
-    Rows with one id are one document, which goes if any of them is in the group of a smaller id. Rows without an id stay.
+    A row is known by its id and its text, so rows of one id with different texts are judged each for itself. Rows without
+    an id come after all others of their group. Texts without words are in no group; of rows equal in id and text, one stays.
     """
-    groups = parity_join.near_duplicates(docs).where("doc_id is not null")
-    marks = groups.groupBy("doc_id").agg(F.max(F.col("component_id") < F.col("doc_id")).alias("gone"), F.count("*").alias("n"))
-    marks = settle(marks.where("gone or n > 1"))
-    kept = docs.join(small(marks.select("doc_id")), "doc_id", "left_anti")
-    again = marks.where("not gone").select("doc_id")
+    text = F.xxhash64("text")
+    key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), text.alias("t"))
+    groups = parity_join.near_duplicates(docs.select(key.alias("key"), "text"), id_col="key")
+    marks = groups.groupBy("key").agg(F.max(~F.col("component_id").eqNullSafe(F.col("key"))).alias("gone"), F.count("*").alias("n"))
+    marks = settle(marks.where("gone or n > 1").select(F.col("key.id").alias("_nd_id"), F.col("key.t").alias("_nd_t"), "gone"))
+    match = [F.col("doc_id").eqNullSafe(F.col("_nd_id")), text == F.col("_nd_t")]
+    kept = docs.join(small(marks.select("_nd_id", "_nd_t")), match, "left_anti")
+    again = marks.where("not gone").select("_nd_id", "_nd_t")
     if (rows := again.count()) > 0:
-        kept = kept.unionByName(docs.join(small(again, rows), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+        kept = kept.unionByName(docs.join(small(again, rows), match, "left_semi").dropDuplicates(["doc_id", "text"]))
     return kept.select(*docs.columns)
 
 

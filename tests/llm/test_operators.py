@@ -289,3 +289,13 @@ def test_rewrite_writes_each_row_once(spark, docs, tmp_path):
         same = [c for c in odd.columns if c != "shard"]
         assert written.count() == odd.count() and written.select(same).exceptAll(odd.select(same)).isEmpty() and odd.select(same).exceptAll(written.select(same)).isEmpty()
         assert written.select("doc_id", "shard", "slot").exceptAll(placed.select("doc_id", "shard", "slot")).isEmpty()
+
+
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(5, a), (5, b), (3, a), (7, b), (None, c), (None, c), (None, a), (None, d), (9, d + " more"), (11, ""), (12, ""), (13, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(3, a), (5, b), (None, c), (9, d + " more"), (11, ""), (12, ""), (13, None)]
+    assert sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=repr) == sorted(want, key=repr)

@@ -1,12 +1,13 @@
 """Secrets in texts: fixed patterns, and strings that a battery of randomness tests can't tell from chance.
 
-Candidate strings (20 or more token characters with a letter and a digit) get an encoding by their characters. Three
-tests ask whether the symbols look drawn at random from that alphabet: chi-squared uniformity over eight bins, the runs
-test about the alphabet's middle, and the lag-1 serial correlation; Fisher's method joins them to one p-value. True
-random strings have uniform p-values while ordinary ones pile up near 0, so within each class of encoding and length the
-share of random strings follows from the upper half of the p-values, and the lowest threshold is taken at which the
-expected share of ordinary strings among those reported is at most ``fdr``. Short classes, where the tests are weak,
-thus get stricter thresholds. Spans are code points, end exclusive.
+Candidate strings (20 or more token characters with a letter and a digit) get an encoding by their characters; a run
+that has signs of both base64 alphabets is tested over all of them jointly. Three tests ask whether the symbols look
+drawn at random from that alphabet: chi-squared uniformity over eight bins, the runs test about the alphabet's middle,
+and the lag-1 serial correlation; Fisher's method joins them to one p-value. True random strings have uniform p-values
+while ordinary ones pile up near 0, so within each class of encoding and length the share of random strings follows from
+the upper half of the p-values, and the lowest threshold is taken at which the expected share of ordinary strings among
+those reported is at most ``fdr``. Short classes, where the tests are weak, thus get stricter thresholds. Spans are code
+points, end exclusive.
 
 Cases: a null or empty text has no spans; null ids, repeated rows and ties give one output row for each input row; an
 empty table gives an empty result; other columns of the input are ignored. A span reported as ``random`` that lies within
@@ -35,6 +36,7 @@ ENCODINGS = (
     ("alphanumeric", r"^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("base64", r"^[A-Za-z0-9+/]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", r"^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("mixed", r"^[A-Za-z0-9+/_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
 LENGTHS = (20, 28, 40, 64)
 P_BINS = 20

@@ -299,3 +299,14 @@ def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = [(3, a), (5, b), (None, c), (9, d + " more"), (11, ""), (12, ""), (13, None)]
     assert sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_secrets_of_both_base64_alphabets_are_tested(spark):
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
+    noise = ["a1/-" + "".join(rng.choice(letters) for _ in range(44)) for _ in range(300)]
+    plain = [f"pages/the-list/of-all-the-items-in-a-row/{k:09d}" for k in range(300)]
+    d = spark.createDataFrame([(k, f"see {x} end") for k, x in enumerate(noise + plain)], "doc_id long, text string")
+    out = by_id(secret_scan.scan(d).withColumn("all", secret_scan.joined(F.concat("base", "added"))))
+    found = [sum("random:4:52" in out[k + at].all for k in range(300)) for at in (0, 300)]
+    assert found[0] > 200 and found[1] < 20

@@ -72,7 +72,7 @@ class Pattern:
     def bind(self, variable: str, value: Column) -> Pattern:
         return self._with(self.rows.withColumn(variable, value))
 
-    def path(self, s: str, steps: str, o: str, depth: int = 100) -> Pattern:
+    def path(self, s: str, steps: str, o: str, depth: int | None = None) -> Pattern:
         """A property path: ``a/b``, ``^a``, ``a|b``, ``a+``, ``a*`` or ``a?``."""
         return self._joined(path(self.triples, steps, depth).select(F.col("s").alias(s[1:]), F.col("o").alias(o[1:])), "inner")
 
@@ -87,8 +87,8 @@ class Pattern:
         return self.rows.select(s.alias("s"), p.alias("p"), o.alias("o")).dropna().distinct()
 
 
-def path(triples: DataFrame, steps: str, depth: int = 100) -> DataFrame:
-    """Distinct (s, o) of a property path."""
+def path(triples: DataFrame, steps: str, depth: int | None = None) -> DataFrame:
+    """Distinct (s, o) of a property path; for ``depth`` see ``closure``."""
     if "|" in steps:
         return reduce(DataFrame.unionByName, (path(triples, x, depth) for x in steps.split("|"))).distinct()
     if "/" in steps:
@@ -106,15 +106,20 @@ def path(triples: DataFrame, steps: str, depth: int = 100) -> DataFrame:
     return triples.where(F.col("p") == steps).select("s", "o").distinct()
 
 
-def closure(edges: DataFrame, depth: int = 100) -> DataFrame:
-    """Transitive closure of (s, o) by doubling: about log2(longest path) joins, each cut into the checkpoint folder."""
+def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """Transitive closure of (s, o) by doubling: about log2(longest path) joins, each cut into the checkpoint folder.
+
+    Paths that take more doublings than ``depth`` steps need raise an error.
+    """
     from ruleweave.operators.graph import cut
 
-    now, n = cut(edges.select("s", "o").distinct()), -1
-    for _ in range(max(1, depth).bit_length()):
-        before, n = n, now.count()
-        if n == before:
-            break
+    now = cut(edges.select("s", "o").distinct())
+    n, rounds = now.count(), 0
+    while True:
         longer = now.withColumnRenamed("o", "m").join(now.select(F.col("s").alias("m"), "o"), "m").select("s", "o")
         now = cut(now.unionByName(longer).distinct())
-    return now
+        before, n, rounds = n, now.count(), rounds + 1
+        if n == before:
+            return now
+        if depth is not None and rounds > max(1, depth).bit_length():
+            raise ValueError(f"the closure has paths of more than {depth} steps")

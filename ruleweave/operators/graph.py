@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 import pandas as pd
 
@@ -63,31 +64,37 @@ def reduce_graph(nodes: DataFrame, flows: DataFrame) -> DataFrame:
     return nodes.groupBy("file").cogroup(flows.groupBy("file")).applyInPandas(walk, REDUCED)
 
 
-def min_depths(edges: DataFrame, starts: DataFrame, limit: int = 100) -> DataFrame:
-    """(file, node, depth): least number of edges from a start of the file. One join a level, to the deepest level."""
+def min_depths(edges: DataFrame, starts: DataFrame, limit: int | None = None) -> DataFrame:
+    """(file, node, depth): least number of edges from a start of the file. One join a level, to the deepest level.
+
+    More than ``limit`` levels raise an error.
+    """
     frontier = starts.select("file", F.col("node"), F.lit(0).alias("depth")).distinct()
     known = cut(frontier)
     frontier = known
-    for level in range(1, limit + 1):
+    for level in count(1):
         step = frontier.join(edges.select("file", F.col("src").alias("node"), "dst"), ["file", "node"]).select("file", F.col("dst").alias("node"), F.lit(level).alias("depth")).distinct()
         frontier = cut(step.join(known.select("file", "node"), ["file", "node"], "left_anti"))
         if frontier.isEmpty():
             break
+        if limit is not None and level > limit:
+            raise ValueError(f"more than {limit} levels")
         known = cut(known.unionByName(frontier))
     return known
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, limit: int = 100) -> DataFrame:
+def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, limit: int | None = None) -> DataFrame:
     """All simple paths (file, nodes, edge_ids, rank) from starts to ends; ``rank`` orders them as a depth-first search.
 
     ``edges`` has file, edge_id, src, dst, rank (place among the source's edges). A path stops at its first end.
+    Paths that are unfinished after ``limit`` edges raise an error.
     """
     targets = ends.select("file", F.col("node").alias("last"), F.lit(True).alias("end"))
     empty = F.array().cast("array<string>")
     going = starts.select("file", F.col("node").alias("last"), F.array("node").alias("nodes"), empty.alias("edge_ids"), F.array().cast("array<int>").alias("rank"))
     done = None
     step = edges.select("file", F.col("src").alias("last"), F.col("dst"), F.col("edge_id").cast("string"), F.col("rank").cast("int").alias("r"))
-    for _ in range(limit):
+    for length in count(1):
         grown = going.join(step, ["file", "last"]).where(~F.array_contains("nodes", F.col("dst")))
         grown = grown.select("file", F.col("dst").alias("last"), F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("edge_ids", F.col("edge_id")).alias("edge_ids"), F.array_append("rank", F.col("r")).alias("rank"))
         grown = cut(grown.join(targets, ["file", "last"], "left"))
@@ -96,6 +103,8 @@ def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, limit: in
         going = grown.where("end is null").drop("end")
         if going.isEmpty():
             break
+        if limit is not None and length >= limit:
+            raise ValueError(f"paths are unfinished after {limit} edges")
     return done
 
 

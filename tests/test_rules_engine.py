@@ -143,3 +143,17 @@ def test_rdf_xml_is_read_back(spark):
     assert n1.get(f"{rdf}about") == "http://e.org/a#n1" and n1.find(f"{rdf}type").get(f"{rdf}resource") == "http://e.org/a#Norm"
     assert n1.find(f"{own}text").text == data[1][2] and n1.find(f"{own}day").get(f"{rdf}datatype") == "http://www.w3.org/2001/XMLSchema#date"
     assert n2.find(f"{own}label").get("{http://www.w3.org/XML/1998/namespace}lang") == "en"
+
+
+def test_a_long_chain_is_closed(spark):
+    triples = spark.createDataFrame([(f"n{k}", "p", f"n{k + 1}") for k in range(200)], "s string, p string, o string")
+    assert path(triples, "p+").count() == 200 * 201 // 2
+
+
+def test_a_limit_that_is_met_raises(spark):
+    edges = spark.createDataFrame([("f", f"e{k}", f"n{k}", f"n{k + 1}", 0) for k in range(4)], "file string, edge_id string, src string, dst string, rank int")
+    one = lambda n: spark.createDataFrame([("f", n)], "file string, node string")
+    for run in (lambda n: graph.simple_paths(edges, one("n0"), one("n4"), n), lambda n: graph.min_depths(edges, one("n0"), n)):
+        assert run(4).count() == run(None).count() > 0
+        with pytest.raises(ValueError):
+            run(3)

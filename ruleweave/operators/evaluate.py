@@ -26,10 +26,10 @@ def matched(facts: DataFrame, scenarios: DataFrame, rules: DataFrame, body: Data
     full = hits.join(_small(needed), "rid").where("n = n_body").select("scenario_id", "rid")
     vacuous = rules.select("rid").join(needed, "rid", "left_anti")
     every = scenarios.select("scenario_id").distinct()
-    empty = [r["rid"] for r in vacuous.limit(BROADCAST_RULES).collect()]
-    if not empty:
+    if vacuous.isEmpty():
         return full
-    return full.unionByName(every.select("scenario_id", F.explode(F.array(*[F.lit(x) for x in empty])).alias("rid")))
+    # Beyond the broadcast limit Spark pairs the partitions of both sides.
+    return full.unionByName(every.crossJoin(_small(vacuous)))
 
 
 def outcomes(matches: DataFrame, head: DataFrame) -> DataFrame:

@@ -157,3 +157,12 @@ def test_a_limit_that_is_met_raises(spark):
         assert run(4).count() == run(None).count() > 0
         with pytest.raises(ValueError):
             run(3)
+
+
+def test_all_rules_without_a_body_match(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "BROADCAST_RULES", 2)
+    facts = spark.createDataFrame([("x", "p", True), ("y", "p", False)], "scenario_id string, pred string, value boolean")
+    body = spark.createDataFrame([("r0", "p", True)], "rid string, pred string, value boolean")
+    names = spark.createDataFrame([(f"r{k}",) for k in range(6)], "rid string")
+    got = sorted(map(tuple, evaluate.matched(facts, facts.select("scenario_id"), names, body).collect()))
+    assert got == sorted([("x", "r0"), *[(s, f"r{k}") for s in "xy" for k in range(1, 6)]])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -21,6 +24,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's call that gives freed memory back, where it has one."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers are used again by later stages, which would add to it."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def parts(batches, text: int = 0, rows: int = 2000, size: int = 2 << 20):
+    """The batches cut to at most ``rows`` rows and, but for single longer texts, ``size`` bytes of the column ``text``."""
+    try:
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < batch.num_rows:
+                before = int(ends[at - 1]) if at else 0
+                to = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
+                yield batch.slice(at, to - at)
+                at = to
+    finally:
+        release()
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a batch: ``starts`` (one more than rows), ``codes`` into ``vocabulary``."""
 

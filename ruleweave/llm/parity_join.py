@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ruleweave.llm.common import connected_components, settle, small
-from ruleweave.llm.textbatch import Words, mix, shingles
+from ruleweave.llm.textbatch import Words, mix, parts, shingles
 
 HEAVY = 1_000_000
 PAIRS_UP_TO = 8
@@ -141,12 +141,6 @@ def _sets(texts, width: int):
         yield s, int(mix(np.array([np.bitwise_xor.reduce(mix(s + weight)) + _U(len(s))], _U)).view(np.int64)[0])
 
 
-def _parts(batches, rows: int = 1000):
-    for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
-
-
 def class_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """Settled rows (id, n_shingles, cls, sk, t), and rows (heavy, times) of shingles met twice or more in one batch of texts.
 
@@ -155,7 +149,7 @@ def class_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     bands = Bands(percent, 1)
 
     def run(batches):
-        for batch in _parts(batches, 2000):
+        for batch in parts(batches, 1, size=8 << 20):
             n, cls, sk, first, new = [], [], [], [], {}
             for s, c in _sets(batch.column(1), width):
                 n.append(len(s))
@@ -178,13 +172,13 @@ def class_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     return settle(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, cls long, sk binary, t long, heavy long, times long"))
 
 
-def _send(docs: DataFrame, text_col: str, width: int, heavy, bands: Bands, parts: int) -> DataFrame:
-    """Rows (part, data): the block keys of many sets, dealt over ``parts``."""
+def _send(docs: DataFrame, text_col: str, width: int, heavy, bands: Bands, tasks: int) -> DataFrame:
+    """Rows (part, data): the block keys of many sets, dealt over ``tasks``."""
 
     def flush(ids, keys):
         many = np.array([len(k) for k in keys])
         key, at = np.concatenate(keys), np.repeat(np.arange(len(ids), dtype=np.uint16), many)
-        part = (((key & _U(0xFFFFFF)) * _U(parts)) >> _U(24)).astype(np.int64)
+        part = (((key & _U(0xFFFFFF)) * _U(tasks)) >> _U(24)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         key, at, part = key[order], at[order], part[order]
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
@@ -197,7 +191,7 @@ def _send(docs: DataFrame, text_col: str, width: int, heavy, bands: Bands, parts
 
     def run(batches):
         ids, keys, seen, total = [], [], set(), 0
-        for batch in _parts(batches):
+        for batch in parts(batches):
             for s, c in _sets(batch.column(0), width):
                 if c is not None and c not in seen and len(own := block_keys(s, heavy.value, bands)):
                     seen.add(c)
@@ -263,7 +257,7 @@ def _collisions(part: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray]]:
 
 def candidates(docs: DataFrame, text_col: str, width: int, heavy, bands: Bands, total: int) -> DataFrame:
     """Settled distinct rows (kind, a, b) of class hashes."""
-    parts = max(1, min(1 << 24, ceil(0.65 * total / KEYS_PER_TASK)))
+    tasks = max(1, min(1 << 24, ceil(0.65 * total / KEYS_PER_TASK)))
 
     def run(batches):
         by: dict[int, list[bytes]] = {}
@@ -274,7 +268,7 @@ def candidates(docs: DataFrame, text_col: str, width: int, heavy, bands: Bands,
             for kind, a, b in _collisions(by.pop(p)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
 
-    sent = _send(docs, text_col, width, heavy, bands, parts).repartitionById(parts, F.col("part").cast("int"))
+    sent = _send(docs, text_col, width, heavy, bands, tasks).repartitionById(tasks, F.col("part").cast("int"))
     return settle(sent.mapInArrow(run, "kind int, a long, b long").distinct())
 
 
@@ -286,7 +280,7 @@ def set_rows(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> D
     """
 
     def run(batches):
-        for batch in _parts(batches):
+        for batch in parts(batches):
             found = {c: s.tobytes() for s, c in _sets(batch.column(0), width) if c is not None}
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["cls", "data"])
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ruleweave.llm.additive_model import AdditiveModel, fit
 from ruleweave.llm.common import held_out
-from ruleweave.llm.textbatch import Words
+from ruleweave.llm.textbatch import Words, parts
 
 FEATURES = ("log_bytes", "log_words", "word_bytes", "upper", "digits", "symbols", "bangs", "stops", "other_marks", "newlines", "non_ascii", "gaps", "distinct_words", "top_word", "next_equal", "pairs_again", "line_bytes")
 
@@ -29,6 +29,19 @@ _CLASS[128:] = 8
 _CLASS[list(b" \t\r\x0b\x0c")] = 9
 
 
+def _kinds(data: np.ndarray, offsets: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """Bytes of each class in each text, a bounded run of bytes at a time."""
+    rows = len(offsets) - 1
+    out = np.zeros(rows * 10, np.int64)
+    for a in range(0, len(data), step):
+        b = min(len(data), a + step)
+        first, last = np.searchsorted(offsets, (a, b - 1), side="right") - 1
+        many = np.minimum(offsets[first + 1 : last + 2], b) - np.maximum(offsets[first : last + 1], a)
+        row = np.repeat(np.arange(last - first + 1), many)
+        out[first * 10 : (last + 1) * 10] += np.bincount(row * 10 + _CLASS[data[a:b]], minlength=(last - first + 1) * 10)
+    return out.reshape(rows, 10)
+
+
 def features(texts: pa.Array) -> np.ndarray:
     """One row of FEATURES for each text."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -38,8 +51,7 @@ def features(texts: pa.Array) -> np.ndarray:
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + rows + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     size = np.diff(offsets)
-    row = np.repeat(np.arange(rows, dtype=np.int64), size)
-    kinds = np.bincount(row * 10 + _CLASS[data], minlength=rows * 10).reshape(rows, 10)
+    kinds = _kinds(data, offsets - offsets[0])
     words = Words(texts)
     n, at = words.counts(), words.rows()
     per_word = lambda x: x / np.maximum(n, 1)
@@ -64,17 +76,11 @@ def features(texts: pa.Array) -> np.ndarray:
     )
 
 
-def _parts(batches, rows: int = 2000):
-    for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
-
-
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", label_id: str = "doc_id", max_train: int = 20_000) -> AdditiveModel:
     """Model from at most ``max_train`` labelled rows outside the held-out fold, least hash of the id first."""
 
     def run(batches):
-        for batch in _parts(batches):
+        for batch in parts(batches):
             x = features(batch.column(0))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), pa.float64()))
             yield pa.RecordBatch.from_arrays([flat, batch.column(1), batch.column(2)], ["f", "label", "at"])
@@ -93,7 +99,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, id_col, text_col, **options))
 
     def run(batches):
-        for batch in _parts(batches):
+        for batch in parts(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.score(features(batch.column(1))))], ["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -107,7 +113,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in _parts(batches):
+        for batch in parts(batches, at):
             yield batch.filter(pa.array(model.value.score(features(batch.column(at))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -24,10 +24,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ruleweave.llm.textbatch import parts
+
 #: The published pre-token pattern of this vocabulary family.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG = 512
 CACHED = 300_000
+#: Characters of texts that are split at a time.
+PART = 4 << 20
 NONE = np.iinfo(np.int64).max
 
 
@@ -145,16 +149,22 @@ class Counter:
 
     def count(self, texts: list[str]) -> list[int]:
         out = []
-        for k in range(0, len(texts), 1000):  # bounds the lists of pre-tokens
-            out += self._count(texts[k : k + 1000])
+        at = 0
+        while at < len(texts):  # bounds the lists of pre-tokens
+            to, size = at + 1, len(texts[at])
+            while to < len(texts) and to - at < 1000 and size + len(texts[to]) <= PART:
+                size += len(texts[to])
+                to += 1
+            out += self._count(texts[at:to])
+            at = to
         return out
 
     def _count(self, texts: list[str]) -> list[int]:
         pieces, extra = [], []
         for text in texts:
-            parts = self.special.split(text) if self.special else [text]
-            extra.append(len(parts) - 1)
-            pieces.append(self.find(parts[0]) if len(parts) == 1 else [x for p in parts for x in self.find(p)])
+            between = self.special.split(text) if self.special else [text]
+            extra.append(len(between) - 1)
+            pieces.append(self.find(between[0]) if len(between) == 1 else [x for p in between for x in self.find(p)])
         if len(self.known) > CACHED:
             self.known.clear()
         new = list({x for p in pieces for x in p if x not in self.known})
@@ -167,7 +177,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     def run(batches):
         counter = Counter(vocabulary)
-        for batch in batches:
+        for batch in parts(batches, 1, size=4 << 20):
             n = pa.array(counter.count(batch.column(1).to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n], ["id", "n_bytes", "n_tokens"])
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleweave.llm import decontam, line_dedup, packing, parity_join, quality, reshard, rule_ledger, secret_scan, token_count, toxicity
-from ruleweave.llm.common import table
+from ruleweave.llm.common import checkpoint_folder, table
 
 CAPACITY, END_ID = 4096, 1
 
@@ -50,7 +52,8 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = reshard.reshard(table(spark, sf_dir, "documents"), shards=8)
+    folder = f"{checkpoint_folder(spark)}/shards-{uuid.uuid4().hex}"
+    placed = reshard.reshard_files(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, shards=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 

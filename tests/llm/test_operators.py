@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ruleweave.llm import decontam, line_dedup, packing, parity_join, quality, reshard, rule_ledger, secret_scan, token_count, toxicity
+from ruleweave.llm import decontam, line_dedup, packing, parity_join, quality, rule_ledger, secret_scan, token_count, toxicity
 from ruleweave.llm.queries import vocabulary
 
 WORDS = ["alpha", "beta", "gamma", "delta", "of", "the", "and", "stone", "river", "Übung", "naïve", "x"]
@@ -141,28 +141,6 @@ def test_packing(docs, empty):
     assert packing.pack(packing.pieces(empty, path, 1, 256), 256).count() == 0
 
 
-def test_sharding(docs, empty, tmp_path):
-    placed = reshard.reshard(docs, shards=4)
-    rows = placed.collect()
-    slots, sizes = defaultdict(list), defaultdict(int)
-    for r in rows:
-        slots[r.shard].append(r.slot)
-        sizes[r.shard] += r.size
-    assert len(rows) == docs.count() and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert reshard.reshard(empty).count() == 0
-    distinct = docs.where("doc_id > 0").dropDuplicates(["doc_id"])
-    placed = reshard.reshard(distinct, shards=4)
-    out = reshard.rewrite(distinct, placed, str(tmp_path / "out"), only=[0, 1, 2, 3])
-    assert out == [0, 1, 2, 3] and distinct.sparkSession.read.parquet(str(tmp_path / "out")).count() == distinct.count()
-
-
-def test_least_bytes_move():
-    supply, demand = [50, 10, 30], [30, 30, 30]
-    flow = reshard.min_cost_flow(supply, demand, [[0 if i == j else 1 for j in range(3)] for i in range(3)])
-    assert sum(flow[i][j] for i in range(3) for j in range(3) if i != j) == 20
-    assert [sum(x) for x in flow] == supply and [sum(flow[i][j] for i in range(3)) for j in range(3)] == demand
-
-
 def test_rules(docs, empty):
     rows = rule_ledger.ledger(docs)
     out = by_id(rows)
@@ -278,19 +256,6 @@ def test_pipeline_drops_a_line_on_a_tenth_of_a_large_host(spark):
     assert {k: r.text for k, r in out.items()} == {k: t.replace("Header\n", "") for k, t, _ in rows}
 
 
-def test_rewrite_writes_each_row_once(spark, docs, tmp_path):
-    odd = docs.withColumn("extra", F.col("n_words")).unionByName(docs.where("doc_id is null or doc_id < 9").withColumn("extra", F.lit(1).cast("long")), allowMissingColumns=True)
-    odd = odd.withColumn("shard", F.when(F.col("extra") == 1, 6).when(F.xxhash64("text") % 3 != 0, F.pmod(F.xxhash64("text"), F.lit(4)).cast("int"))).cache()
-    for old_col in (None, "shard"):
-        placed = reshard.reshard(odd, shards=4, old_col=old_col).cache()
-        out = str(tmp_path / str(old_col))
-        assert reshard.rewrite(odd, placed, out, only=[0, 1, 2, 3], old_col=old_col) == [0, 1, 2, 3]
-        written = spark.read.parquet(out)
-        same = [c for c in odd.columns if c != "shard"]
-        assert written.count() == odd.count() and written.select(same).exceptAll(odd.select(same)).isEmpty() and odd.select(same).exceptAll(written.select(same)).isEmpty()
-        assert written.select("doc_id", "shard", "slot").exceptAll(placed.select("doc_id", "shard", "slot")).isEmpty()
-
-
 def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
     import corpus_pipeline
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ruleweave.llm import decontam, line_dedup, packing, parity_join, quality, rule_ledger, secret_scan, token_count, toxicity
+from ruleweave.llm import line_dedup, packing, parity_join, quality, rule_ledger, secret_scan, token_count, toxicity
 from ruleweave.llm.queries import vocabulary
 
 WORDS = ["alpha", "beta", "gamma", "delta", "of", "the", "and", "stone", "river", "Übung", "naïve", "x"]
@@ -184,19 +184,6 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.drop_boilerplate(docs).count() == docs.count() and line_dedup.drop_boilerplate(empty).count() == 0
 
 
-def test_leaks(spark, docs, empty):
-    rng = random.Random(5)
-    item = [f"tok{rng.randint(0, 999)}" for _ in range(30)]
-    changed = [w if k % 6 else "other" for k, w in enumerate(item)]
-    d = spark.createDataFrame([(1, "x y " + " ".join(item)), (2, "Q " + " ".join(changed) + "."), (3, " ".join(item[:6])), (4, None), (5, "")], "doc_id long, text string")
-    bench = spark.createDataFrame([(7, " ".join(item)), (8, None), (9, ""), (10, "too short")], "item_id long, text string")
-    assert sorted((r.doc_id, r.item_id) for r in decontam.leaks(d, bench).collect()) == [(1, 7), (2, 7)]
-    assert sorted(r.doc_id for r in decontam.decontaminate(d, bench).collect()) == [3, 4, 5]
-    none = spark.createDataFrame([], "item_id long, text string")
-    assert decontam.leaks(docs, none).count() == 0 and decontam.leaks(empty, bench).count() == 0
-    assert decontam.decontaminate(docs, none).count() == docs.count()
-
-
 @pytest.mark.parametrize("score", [quality.quality_scores, toxicity.toxicity_scores])
 def test_classifiers_take_any_table(spark, docs, empty, score):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
-Voters are a fixed lexicon, words and word beginnings induced from the labelled training rows, patterns over their hits,
-and the annotator who gave the labels; each votes toxic, harmless or abstains. A generative label model with one hidden class learns by expectation-maximisation how often
-each voter casts each vote in each class, finds voters that agree beyond what the classes explain and shares their
-weight, and gives each training text a posterior. A logistic classifier over word and voter features is fitted to these
+Voters are a fixed lexicon, words and word beginnings that the labels of the training rows show to be precise, and patterns
+over their hits; each votes toxic or harmless or abstains. A generative label model with one hidden class learns by
+expectation-maximisation how often each voter casts each vote in each class, finds voters that agree beyond what the classes
+explain and shares their weight, and gives each training text a posterior. Labels choose the voters and give their rates a
+prior worth ``belief`` rows; no label votes on its row. A logistic classifier over word and voter features is fitted to the
 posteriors and scores all documents.
 
 Training uses at most ``max_train`` labelled rows outside the held-out fold (least hash of the id first). Cases: a null or empty text is scored by the bias and the
@@ -94,21 +95,29 @@ class Measure:
         return row, feature
 
 
-def label_model(votes: np.ndarray, prior: float, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, prior: float, believed: list[np.ndarray] | None = None, belief: float = 50, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of class 1 for rows of ``votes`` (1, 0 harmless, -1 abstains), and each voter's weight.
 
+    ``believed`` are prior rates of each vote (-1, 0, 1) by class and voter, worth ``belief`` rows of each class.
+
     Voters are independent given the class but for found correlations: a voter's weight is the inverse of the number of
     voters whose votes, less what the classes explain, correlate with its own above 0.2.
     """
     n, m = votes.shape
     weight = np.ones(m)
     cast = [(votes == v).astype(np.float32) for v in (-1, 0, 1)]
-    score = (votes == 1).sum(1) - (votes == 0).sum(1)
+    if believed is None:
+        believed = [np.full((2, m), 1 / 3)] * 3
+    score, accuses = (votes == 1).sum(1) - (votes == 0).sum(1), (votes == 1).sum(0) >= (votes == 0).sum(0)
     post = np.clip(np.where(score > 0, 0.9, np.where(score < 0, 0.05, prior)), 0.01, 0.99)
     for turn in range(2):
         for _ in range(steps):
             total = np.array([1 - post, post], np.float32)
-            rates = [(total @ c + 0.5) / (total.sum(1, keepdims=True) + 1.5) for c in cast]
+            rates = [(total @ c + 0.5 + belief * b) / (total.sum(1, keepdims=True) + 1.5 + belief) for c, b in zip(cast, believed, strict=True)]
+            # A voter that would speak against its own vote says nothing, lest the hidden class turn into another one.
+            wrong = np.where(accuses, rates[2][1] < rates[2][0], rates[1][0] < rates[1][1])
+            for r in rates:
+                r[:, wrong] = r[:, wrong].mean(0)
             logit = np.log(prior / (1 - prior)) + sum(c @ (weight * (np.log(r[1]) - np.log(r[0]))) for c, r in zip(cast, rates, strict=True))
             new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             done = np.abs(new - post).max() < 1e-4
@@ -186,7 +195,7 @@ def _chosen(rows: list, most: int, taken: list[str]) -> list[str]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id", max_train: int = 20_000, induced: int = 96, words: int = 320) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id", max_train: int = 20_000, induced: int = 96, words: int = 320, precision: float = 0.9, least: int = 5, belief: float = 50) -> ToxicModel:
     known = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
     chosen = known.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "label").limit(max_train)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -196,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prior = min(0.9, max(0.01, (ones + 1) / (total + 10)))
     counts = settle(_term_counts(sample).where("n0 + n1 >= 5"))
     share0, share1 = (F.col("n0") + 0.5) / (total - ones + 1), (F.col("n1") + 0.5) / (ones + 1)
-    precise = counts.where((F.col("n1") >= 5) & (F.col("n1") * 10 >= (F.col("n0") + F.col("n1")) * 6) & (share1 >= 8 * share0))
+    precise = counts.where((F.col("n1") >= least) & (F.col("n1") >= precision * (F.col("n0") + F.col("n1"))) & (share1 >= 8 * share0))
     lexicon = list(LEXICON)
     voters = precise.orderBy(F.col("n1").desc(), "n0", F.length("term"), "term", "level").limit(8 * induced).collect()
     lexicon += _chosen(voters, induced, lexicon)
@@ -227,12 +236,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for k, term in enumerate(lexicon):
         voter_of[LEVELS * k + level_of.get(term, 0)] = k
     voter_of[m - len(PATTERNS) :] = len(lexicon) + np.arange(len(PATTERNS))
-    votes = np.full((n, len(lexicon) + len(PATTERNS) + 1), -1, np.int8)
+    votes = np.full((n, len(lexicon) + len(PATTERNS)), -1, np.int8)
     casts = voter_of[features] >= 0
     votes[rows[casts], voter_of[features[casts]]] = 1
-    votes[:, -2] = np.where(votes[:, -2] == 1, 0, -1)  # no_hit votes harmless
-    votes[:, -1] = [r["label"] for r in got]  # the annotator is a voter like the others, and may err
-    post, _ = label_model(votes, prior)
+    votes[:, -1] = np.where(votes[:, -1] == 1, 0, -1)  # no_hit votes harmless
+    # The labels say how often each voter casts each vote, as a prior worth a few rows; no label is a vote on its own row.
+    label = np.array([r["label"] for r in got])
+    believed = [np.stack([((votes == v)[label == y].sum(0) + 0.5) / ((label == y).sum() + 1.5) for y in (0, 1)]) for v in (-1, 0, 1)]
+    post, _ = label_model(votes, prior, believed, belief)
     return ToxicModel(terms, len(lexicon), *fit_linear(rows, features, (n, m), post))
 
 

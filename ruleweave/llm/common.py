@@ -49,10 +49,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def _with_least(rows: DataFrame, salts: int = 64) -> DataFrame:
+    """``rows`` (u, v) with the least v of each u as m; a hub's rows are dealt over ``salts`` parts.
+
+    The least v of each part is found first; it is these rows, at most ``salts`` of a hub, that meet by hub alone.
+    """
+    rows = rows.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)))
+    part = rows.groupBy("u", "s").agg(F.min("v").alias("m"))
+    least = part.groupBy("u").agg(F.min("m").alias("m"), F.collect_set("s").alias("s")).select("u", "m", F.explode("s").alias("s"))
+    return rows.join(least, ["u", "s"])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest reachable node for each node of undirected ``edges``: columns node, component.
 
-    Alternating large-star and small-star rounds; each halves the depth of the trees, and no row leaves the executors.
+    Alternating large-star and small-star rounds; each halves the depth of the trees, no row leaves the executors, and no
+    hub's neighbours meet in one task.
     Null ends and self loops are ignored; an empty input gives an empty result.
     """
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
@@ -60,11 +72,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     before = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        stars = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = settle(stars.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        stars = _with_least(large).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = large.groupBy("u").agg(F.min("v").alias("v"))
+        edges = settle(stars.unionByName(low).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -23,15 +23,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
-#: A line on more than this share of a site's pages is boilerplate. On large sites such lines stand on 9 to 13 % of the
-#: pages, and no other line on more than 5 %; a ratio between them decides alike on sites of any size.
-BOILERPLATE_RATIO = 0.0625
-
-
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their boilerplate lines dropped and n_chars, where there is one, brought up to date."""
     own = {c: f"_own_{c}" for c in docs.columns if c.lower() in ("n_lines", "n_dropped")}
-    out = line_dedup.drop_boilerplate(docs.withColumnsRenamed(own), max_ratio=BOILERPLATE_RATIO)
+    out = line_dedup.drop_boilerplate(docs.withColumnsRenamed(own))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
@@ -58,12 +53,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item leaks."""
+    """Documents in which no benchmark item leaks; null and empty texts stay, repeated rows go or stay together."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed."""
+    """The pieces of all documents, packed; a null or empty text is one piece of the end token, repeated rows are pieces each."""
     return packing.pack(packing.pieces(docs, vocabulary("word_bpe_49k.json"), END_ID, CAPACITY), CAPACITY)
 
 

@@ -104,7 +104,7 @@ totals AS (SELECT host, count(*) AS total FROM pages GROUP BY host),
 seen AS (SELECT DISTINCT host, t, trim(unnest(string_split(t, chr(10))), {_GAPS}) AS k FROM pages),
 boiler AS (
   SELECT host, k FROM (SELECT host, k, count(*) AS n FROM seen WHERE k <> '' GROUP BY host, k) JOIN totals USING (host)
-  WHERE n >= 5 AND n > 0.125 * total
+  WHERE n >= 5 AND n > 0.0625 * total
 ),
 lines AS (
   SELECT r, host, i, x, trim(x, {_GAPS}) AS k

@@ -227,3 +227,22 @@ def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = [(3, a), (5, b), (None, c), (9, d + " more"), (11, ""), (12, ""), (13, None)]
     assert sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_line_dedup_ties_repeats_and_clashing_names(spark):
+    rows = [(k, ("Tie\n" if k < 1 else "") + ("Over\n" if k < 9 else "") + f"body {k}", "h", 7, "x") for k in range(128)] + [(900 + k, "Tie\nkept", "h2", 7, "x") for k in range(3)] + [(5, None, "h", 7, "x"), (0, "Tie\nOver\nbody 0", "h", 7, "x")]
+    rows += [(300 + k, ("Eight\n" if k < 8 else "") + f"page {k}", None, 7, "x") for k in range(128)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, N_lines int, n_Dropped string")
+    out = line_dedup.drop_boilerplate(d)
+    assert out.columns == ["doc_id", "text", "source", "n_lines", "n_dropped"]
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(got, key=repr) == sorted([(d, t and t.replace("Over\n", "")) for d, t, *_ in rows], key=repr)
+
+
+def test_components_of_hubs_and_chains(spark):
+    from ruleweave.llm.common import connected_components
+
+    edges = [(1, k) for k in range(2, 500)] + [(k, k + 1) for k in range(1000, 1300)] + [(499, 5000), (7, 7), (None, 3), (5000, 1)] + [(k, 9000) for k in range(8000, 8200)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    want = {k: 1 for k in [*range(1, 500), 5000]} | {k: 1000 for k in range(1000, 1301)} | {k: 8000 for k in [*range(8000, 8200), 9000]}
+    assert got == want

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ruleweave.functions.text import lookup, norm_id
+
 # Element names of the standard.
 RECORD_TASKS = ("task", "userTask", "serviceTask", "manualTask", "businessRuleTask", "sendTask", "scriptTask")
 GRAPH_TASKS = ("task", "userTask", "serviceTask", "manualTask", "businessRuleTask", "sendTask")
@@ -39,7 +41,8 @@ def _rows(file: str, xml: str):
         tag, seq = _local(e.tag), seq + 1
         if tag in KEPT or tag in GRAPH_TASKS:
             yield file, "node", e.get("id"), tag, e.get("name") or "", None, None, None, None, seq
-            for k, v in (_properties(e) | {"_bpmn_name": e.get("name") or ""}).items():
+            bag = _properties(e)
+            for k, v in (bag | {"_bpmn_name": e.get("name") or ""}).items() if bag else ():
                 yield file, "prop", e.get("id"), tag, None, None, None, k, v, seq
             if tag == "exclusiveGateway":
                 for pos, out in enumerate(x for x in e if _local(x.tag) == "outgoing"):
@@ -60,6 +63,8 @@ def _rows(file: str, xml: str):
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """Long rows of all diagrams in a folder or glob; one file is one small row, parsed in batches by executors."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bpmn").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.decode("content", "utf-8").alias("xml"))
+    if files.isEmpty():
+        raise FileNotFoundError(f"no diagrams in {path}")
     return parse(files)
 
 
@@ -84,22 +89,76 @@ def tables(rows: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-# Record columns by property name.
+# Record columns by property name, of tasks and of gateways.
 FIELDS = {
-    "deonticType": "deontic_type", "bindingForce": "binding_force", "normStatus": "norm_status", "riskLevel": "risk_level", "extractionMethod": "extraction_method", "reviewStatus": "review_status",
-    "deonticId": "deontic_id", "normStatement": "norm_statement", "agent": "agent", "action": "action", "object": "object", "factStatement": "fact_statement", "triggerCondition": "trigger_condition",
-    "jurisdiction": "jurisdiction", "effectiveDate": "effective_date", "deadline": "deadline", "exception": "exception", "sanction": "sanction", "regulation": "regulation", "article": "article",
-    "paragraph": "paragraph", "originalText": "original_text", "regulationURI": "regulation_uri", "confidence": "confidence", "annotator": "annotator", "annotationDate": "annotation_date",
-    "lastReviewDate": "last_review_date", "conditionStatement": "condition_statement", "trueBranch": "true_branch", "falseBranch": "false_branch",
+    "compliance_deonticType": "deontic_type", "compliance_bindingForce": "binding_force", "compliance_status": "norm_status", "compliance_riskLevel": "risk_level", "compliance_extractionMethod": "extraction_method",
+    "compliance_legalReview": "review_status", "compliance_deonticId": "deontic_id", "compliance_normStatement": "norm_statement", "compliance_agent": "agent", "compliance_action": "action", "compliance_object": "object",
+    "compliance_factStatement": "fact_statement", "compliance_triggerCondition": "trigger_condition", "compliance_jurisdiction": "jurisdiction", "compliance_effectiveDate": "effective_date", "compliance_deadline": "deadline",
+    "compliance_exception": "exception", "compliance_sanction": "sanction", "compliance_regulation": "regulation", "compliance_article": "article", "compliance_paragraph": "paragraph", "compliance_originalText": "original_text",
+    "compliance_regulationURI": "regulation_uri", "compliance_confidence": "confidence", "compliance_annotator": "annotator", "compliance_annotationDate": "annotation_date", "compliance_lastReviewDate": "last_review_date",
+    "gw_conditionStatement": "condition_statement", "gw_trueBranch": "true_branch", "gw_falseBranch": "false_branch",
 }
-
-
-def records(rows: DataFrame, prefix: str = "compliance_") -> DataFrame:
-    """Flat annotation records with ``ord``; missing values are empty strings."""
-    found = rows.where("part = 'record'")
-    value = lambda key: F.coalesce(F.max(F.when(F.col("key") == prefix + key, F.col("value"))), F.lit(""))
-    out = found.groupBy("file", "seq", F.col("id").alias("bpmn_id"), F.col("name").alias("bpmn_name"), F.col("type").alias("element_type")).agg(*[value(k).alias(c) for k, c in FIELDS.items()], value("condition").alias("_condition"))
-    gate = F.col("element_type") == "exclusiveGateway"
-    branch = lambda c, word: F.when(gate & (F.col(c) == ""), word).otherwise(F.col(c))
-    out = out.withColumns({"trigger_condition": F.when(F.col("trigger_condition") == "", F.col("_condition")).otherwise(F.col("trigger_condition")), "true_branch": branch("true_branch", "Yes"), "false_branch": branch("false_branch", "No")})
-    return out.withColumn("ord", F.struct("file", "seq")).drop("_condition", "seq")
+GATEWAY_ONLY = ("condition_statement", "true_branch", "false_branch")
+TASK_ONLY = ("deontic_type", "binding_force", "risk_level", "deontic_id", "norm_statement", "agent", "action", "object", "fact_statement", "trigger_condition", "exception", "sanction")
+
+
+def wide(rows: DataFrame, keys: list[str], names: dict[str, str]) -> DataFrame:
+    """One row for each group of ``keys`` with a column for each property in ``names``; missing ones are empty."""
+    value = lambda key: F.coalesce(F.max(F.when(F.col("key") == key, F.col("value"))), F.lit(""))
+    return rows.groupBy(*keys).agg(*[value(k).alias(c) for k, c in names.items()])
+
+
+def records(rows: DataFrame) -> DataFrame:
+    """Flat annotation records with ``ord``; missing values are empty strings.
+
+    The element type is the annotated one, else the element's own. Tasks without an id get one from type and name; what is
+    neither a task nor a gateway has no fields.
+    """
+    found = rows.where("part = 'record'").withColumnsRenamed({"id": "bpmn_id", "name": "bpmn_name"})
+    out = wide(found, ["file", "seq", "bpmn_id", "bpmn_name", "type"], FIELDS | {"compliance_condition": "_condition", "compliance_elementType": "_element"})
+    out = out.withColumn("element_type", F.coalesce(F.nullif("_element", F.lit("")), "type"))
+    task, gate = F.col("element_type") == "task", F.col("element_type") == "exclusiveGateway"
+    filled = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), other)
+    out = out.withColumns({
+        "trigger_condition": filled("trigger_condition", F.col("_condition")), "true_branch": filled("true_branch", F.lit("Yes")), "false_branch": filled("false_branch", F.lit("No")),
+        "deontic_id": filled("deontic_id", norm_id(F.col("deontic_type"), F.btrim("bpmn_name"), F.col("bpmn_id"))),
+    })
+    kept = {c: F.when(gate if c in GATEWAY_ONLY else task if c in TASK_ONLY else task | gate, F.col(c)).otherwise("") for c in FIELDS.values()}
+    return out.withColumns(kept).withColumn("ord", F.struct("file", "seq")).drop("_condition", "_element", "type", "seq")
+
+
+def patched(props: DataFrame, records: DataFrame, fields: tuple[str, ...] = ("regulation", "agent", "object")) -> DataFrame:
+    """Properties (file, element_id, key, value) with the resolved labels of ``records`` put in by file and element.
+
+    A property that an element lacks is added; empty labels change nothing.
+    """
+    names = {c: k for k, c in FIELDS.items()}
+    cells = F.array(*[F.struct(F.lit(names[c]).alias("key"), F.col(c).alias("new")) for c in fields])
+    new = records.groupBy("file", F.col("bpmn_id").alias("element_id")).agg(*[F.max_by(c, "ord").alias(c) for c in fields]).select("file", "element_id", F.inline(cells)).where("new <> ''")
+    known = props.select("file", "element_id").distinct()
+    joined = props.join(new.join(known, ["file", "element_id"], "left_semi"), ["file", "element_id", "key"], "full_outer")
+    return joined.select("file", "element_id", "key", F.coalesce("new", "value").alias("value"))
+
+
+def overridden(props: DataFrame, override: DataFrame) -> DataFrame:
+    """Properties with raw labels replaced by an override's (field, label, winner); empty winners change nothing."""
+    keys = {"agent": "compliance_agent", "action": "compliance_action", "object": "compliance_object", "regulation": "compliance_regulation", "deontic_id": "compliance_deonticId", "condition_statement": "gw_conditionStatement"}
+    rows = override.where("coalesce(winner, '') <> ''").select(lookup(F.col("field"), keys).alias("key"), F.col("label").alias("value"), F.col("winner")).where("key is not null")
+    return props.join(rows, ["key", "value"], "left").select("file", "element_id", "key", F.coalesce("winner", "value").alias("value"))
+
+
+def record_json(records: DataFrame) -> DataFrame:
+    """(ord, line): a record as JSON, its empty fields kept; types other than task and gateway have three fields."""
+    base = ["bpmn_id", "bpmn_name", "element_type"]
+    task = F.to_json(F.struct(*base, *[c for c in FIELDS.values() if c not in GATEWAY_ONLY]))
+    gate = F.to_json(F.struct(*base, *[c for c in FIELDS.values() if c not in TASK_ONLY]))
+    line = F.when(F.col("element_type") == "task", task).when(F.col("element_type") == "exclusiveGateway", gate).otherwise(F.to_json(F.struct(*base)))
+    return records.select("ord", line.alias("line"))
+
+
+def overrides(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An override file's rows (field, label, winner), and its confirmed pairs (a, b); ``files`` is (json)."""
+    parsed = files.select(F.from_json("json", "map<string,string>").alias("m")).select(F.explode("m").alias("field", "body"))
+    maps = parsed.where(~F.startswith("field", F.lit("_"))).select("field", F.explode(F.from_json("body", "map<string,string>")).alias("label", "winner"))
+    pairs = parsed.where("field = '_confirmed_separate'").select(F.explode(F.from_json("body", "array<array<string>>")).alias("pair"))
+    return maps, pairs.where("size(pair) = 2").select(F.col("pair")[0].alias("a"), F.col("pair")[1].alias("b"))

@@ -1,8 +1,10 @@
-"""Packs of files: fingerprints, incremental selection, catalogue upserts, unique names."""
+"""Packs of files: fingerprints, incremental selection, stores of triples, catalogue upserts, unique names."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,18 +19,79 @@ def stale(current: DataFrame, recorded: DataFrame) -> DataFrame:
     return current.join(recorded.select("pack", "fingerprint"), ["pack", "fingerprint"], "left_anti")
 
 
+def save_triples(triples: DataFrame, path: str) -> None:
+    """Replace the packs of ``triples`` (with a column pack) in a store; other packs' files stay as they are.
+
+    Rows are sorted by predicate and subject, so that a scan for one predicate skips most of a file.
+    """
+    rows = triples.repartition("pack").sortWithinPartitions("pack", "p", "s")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pack").parquet(path)
+
+
+def load_triples(spark: SparkSession, path: str, pack: str, *more: DataFrame) -> DataFrame:
+    """Triples of one pack, by partition, and those of ``more`` tables, such as a vocabulary."""
+    own = spark.read.parquet(path).where(F.col("pack") == pack).drop("pack")
+    for other in more:
+        own = own.unionByName(other.select(own.columns))
+    return own
+
+
 def upsert(catalog: DataFrame, rows: DataFrame, key: str = "pack") -> DataFrame:
-    """Latest row by key; a row that was there before keeps its ``created_at``."""
-    both = catalog.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
+    """Latest whole row by key: one of ``rows`` before one of the catalogue, the latest ``updated_at`` before others.
+
+    A row that was there before keeps its ``created_at``.
+    """
     columns = [c for c in catalog.columns if c not in (key, "created_at")]
-    return both.groupBy(key).agg(F.min_by("created_at", "_new").alias("created_at"), *[F.max_by(c, "_new").alias(c) for c in columns]).select(*catalog.columns)
+    both = catalog.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
+    latest = F.struct("_new", *[c for c in columns if c == "updated_at"], *[c for c in columns if c != "updated_at"])
+    return both.groupBy(key).agg(F.min_by("created_at", F.struct("_new", "created_at")).alias("created_at"), F.max(latest).alias("r")).select(key, "created_at", "r.*").select(*catalog.columns)
+
+
+def sync_files(stored: DataFrame, files: DataFrame) -> DataFrame:
+    """Stored file rows with those of the packs in ``files`` replaced as a whole."""
+    return stored.join(files.select("pack").distinct(), "pack", "left_anti").unionByName(files.select(stored.columns))
+
+
+def catalog_row(catalog: DataFrame, name: str, key: str = "pack") -> DataFrame:
+    return catalog.where(F.col(key) == name)
+
+
+def catalog_listing(catalog: DataFrame, key: str = "pack") -> DataFrame:
+    return catalog.orderBy(key)
 
 
 def unique_names(names: DataFrame, taken: DataFrame) -> DataFrame:
-    """(name, unique): repeated or taken names get -2, -3, ... in order of ``ord``."""
-    used = taken.groupBy("name").agg(F.count("*").alias("used"))
-    k = F.row_number().over(Window.partitionBy("name").orderBy("ord")) + F.coalesce("used", F.lit(0))
-    return names.join(used, "name", "left").select("name", "ord", F.when(k == 1, F.col("name")).otherwise(F.concat_ws("-", "name", k.cast("string"))).alias("unique"))
+    """(name, ord, unique): in order of ``ord``, a name that is taken, also by one before, gets the first free of -2, -3, ...
+
+    Names that can meet (alike but for numbers behind a dash) are one group; people write them.
+    """
+    root = lambda: F.regexp_replace("name", "(-[0-9]+)+$", "")
+
+    def choose(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        used, following, out = set(old["name"]), {}, []
+        for row in new.sort_values("ord").itertuples():
+            name, k = row.name, following.get(row.name, 2)
+            if name in used:
+                while f"{row.name}-{k}" in used:
+                    k += 1
+                name, following[row.name] = f"{row.name}-{k}", k + 1
+            used.add(name)
+            out.append((row.name, row.ord, name))
+        return pd.DataFrame(out, columns=["name", "ord", "unique"])
+
+    kind = names.schema["ord"].dataType.simpleString()
+    both = names.select("name", "ord", root().alias("root")).groupBy("root").cogroup(taken.select("name", root().alias("root")).groupBy("root"))
+    return both.applyInPandas(choose, f"name string, ord {kind}, unique string")
+
+
+def appended(files: DataFrame, added: DataFrame) -> DataFrame:
+    """File rows (pack, path, content) with ``added`` ones (with ``ord``) appended under names that are free in their pack."""
+    stem, end = F.regexp_replace("path", r"\.[^.]*$", ""), F.regexp_extract("path", r"(\.[^.]*)$", 1)
+    keyed = lambda d: d.withColumns({"_stem": F.concat_ws("/", "pack", stem), "_end": end})
+    named = unique_names(keyed(added).select(F.col("_stem").alias("name"), "ord"), keyed(files).select(F.col("_stem").alias("name")))
+    rows = keyed(added).join(named.select("ord", "unique"), "ord")
+    path = F.concat(F.expr("substring(unique, length(pack) + 2)"), F.coalesce(F.nullif("_end", F.lit("")), F.lit(".bpmn")))
+    return files.unionByName(rows.select("pack", path.alias("path"), "content"))
 
 
 def summaries(rules: DataFrame) -> DataFrame:

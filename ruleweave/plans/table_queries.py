@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ruleweave.functions import text as T
-from ruleweave.operators import evaluate, graph, resolve
+from ruleweave.operators import evaluate, graph, norms, resolve
 from ruleweave.operators.bgp import Pattern, path
 from ruleweave.operators.triples import decode, encode
 
@@ -30,6 +30,20 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _facts(rows: DataFrame, prefix: str, key: str, values: dict[str, str], links: dict[str, tuple[str, str]]) -> DataFrame:
+    """Triples (s, p, o) of a table's rows: their type, values of columns, and links to keys of other tables."""
+    s = F.concat(F.lit(prefix), F.col(key).cast("string"))
+    cells = [F.struct(F.lit("rdf:type").alias("p"), F.lit(prefix).alias("o"))] + [F.struct(F.lit(p).alias("p"), F.col(c).cast("string").alias("o")) for p, c in values.items()]
+    cells += [F.struct(F.lit(p).alias("p"), F.concat(F.lit(other), F.col(c).cast("string")).alias("o")) for p, (other, c) in links.items()]
+    return rows.select(s.alias("s"), F.inline(F.array(*cells))).where("o is not null")
+
+
+def _people(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers and nations as triples."""
+    customer = _facts(read(spark, sf, "customer"), "c/", "c_custkey", {"label": "c_name"}, {"inNation": ("n/", "c_nationkey")})
+    return customer.unionByName(_facts(read(spark, sf, "nation"), "n/", "n_nationkey", {"label": "n_name"}, {"inRegion": ("r/", "n_regionkey")}))
+
+
 _RULES = [("r1", "purchase", True), ("r1", "error", False), ("r2", "click", True), ("r2", "view", True), ("r2", "signup", True), ("r3", "error", True), ("r3", "purchase", False)]
 
 
@@ -58,11 +72,12 @@ SELECT o_orderpriority AS type, c_name AS agent_label, o_orderkey AS norm, n_nam
 WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')
 """)
 def q02_bgp_by_agent(spark, sf):
-    orders = read(spark, sf, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey", "o_custkey", "o_orderpriority")
-    agent = read(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
-    source = read(spark, sf, "nation").select("n_nationkey", "n_name")
-    rows = orders.join(agent, F.col("o_custkey") == F.col("c_custkey")).join(source, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return rows.select(F.col("o_orderpriority").alias("type"), F.col("c_name").alias("agent_label"), F.col("o_orderkey").alias("norm"), F.col("n_name").alias("regulation"))
+    """Orders of two priorities with their customer and the customer's nation, as a graph pattern."""
+    order = _facts(read(spark, sf, "orders"), "o/", "o_orderkey", {"type": "o_orderpriority"}, {"placedBy": ("c/", "o_custkey")})
+    triples = order.unionByName(_people(spark, sf))
+    p = Pattern(triples).where("?o", "type", "?type").values("type", ["1-URGENT", "2-HIGH"]).where("?o", "placedBy", "?c").where("?c", "label", "?agent_label")
+    p = p.optional(("?c", "inNation", "?n"), ("?n", "label", "?regulation"))
+    return p.bind("norm", F.substring_index("o", "/", -1).cast("long")).select("type", "agent_label", "norm", "regulation")
 
 
 @query("""
@@ -70,32 +85,44 @@ SELECT c_custkey, c_mktsegment, g.o_orderkey, g.l_linenumber FROM customer LEFT
 (SELECT o_custkey, o_orderkey, l_linenumber FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 45 AND o_totalprice > 200000) g ON g.o_custkey = c_custkey
 """)
 def q03_optional_group(spark, sf):
-    """Left join with an inner-joined group."""
-    group = read(spark, sf, "orders").where("o_totalprice > 200000").join(read(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber"), "o_orderkey").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "l_linenumber")
-    return read(spark, sf, "customer").select("c_custkey", "c_mktsegment").join(group, "c_custkey", "left")
+    """Left join with an inner-joined group: customers, and their large orders with large items."""
+    item = read(spark, sf, "lineitem").where("l_quantity > 45").withColumn("id", F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
+    triples = _facts(read(spark, sf, "customer"), "c/", "c_custkey", {"segment": "c_mktsegment"}, {}).unionByName(_facts(read(spark, sf, "orders").where("o_totalprice > 200000"), "o/", "o_orderkey", {}, {"placedBy": ("c/", "o_custkey")}))
+    triples = triples.unionByName(_facts(item, "l/", "id", {"number": "l_linenumber"}, {"partOf": ("o/", "l_orderkey")}))
+    p = Pattern(triples).where("?c", "segment", "?c_mktsegment").optional(("?o", "placedBy", "?c"), ("?l", "partOf", "?o"), ("?l", "number", "?number"))
+    key = lambda c, kind="long": F.substring_index(c, "/", -1).cast(kind)
+    return p.rows.select(key("c").alias("c_custkey"), "c_mktsegment", key("o").alias("o_orderkey"), F.col("number").cast("int").alias("l_linenumber"))
 
 
 @query("""
 SELECT p_brand AS source, p_type AS article, count(DISTINCT l_suppkey) AS norm_count FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_brand, p_type HAVING count(DISTINCT l_suppkey) > 1
 """)
 def q04_shared_source(spark, sf):
-    items = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey").distinct()
-    rows = read(spark, sf, "part").select("p_partkey", "p_brand", "p_type").join(items, "p_partkey", "left")
-    return rows.groupBy(F.col("p_brand").alias("source"), F.col("p_type").alias("article")).agg(F.count_distinct("l_suppkey").alias("norm_count")).where("norm_count > 1")
+    """Groups of a pattern with more than one different member."""
+    triples = _facts(read(spark, sf, "part"), "p/", "p_partkey", {"brand": "p_brand", "kind": "p_type"}, {})
+    sold = read(spark, sf, "lineitem").select(F.concat(F.lit("p/"), "l_partkey").alias("s"), F.lit("soldBy").alias("p"), F.col("l_suppkey").cast("string").alias("o")).distinct()
+    p = Pattern(triples.unionByName(sold)).where("?part", "brand", "?source").where("?part", "kind", "?article").optional(("?part", "soldBy", "?supplier"))
+    return p.group("source", "article", norm_count=F.count_distinct("supplier")).filter("norm_count > 1").select("source", "article", "norm_count")
 
 
 @query("""SELECT o_orderkey, o_orderpriority, o_orderstatus FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus IN ('O', 'P')""")
 def q05_high_priority(spark, sf):
-    return read(spark, sf, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & F.col("o_orderstatus").isin("O", "P")).select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    """Two lists of values in a pattern."""
+    triples = _facts(read(spark, sf, "orders"), "o/", "o_orderkey", {"priority": "o_orderpriority", "status": "o_orderstatus"}, {})
+    p = Pattern(triples).where("?o", "priority", "?o_orderpriority").values("o_orderpriority", ["1-URGENT", "2-HIGH"]).where("?o", "status", "?o_orderstatus").values("o_orderstatus", ["O", "P"])
+    return p.bind("o_orderkey", F.substring_index("o", "/", -1).cast("long")).select("o_orderkey", "o_orderpriority", "o_orderstatus")
 
 
 @query("""
 SELECT c_custkey, n_name AS regulation, r_name AS article, o_orderkey AS paragraph FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON o_custkey = c_custkey
 """)
 def q06_source_anchor(spark, sf):
-    rows = read(spark, sf, "customer").select("c_custkey", "c_nationkey").join(read(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"), "left").join(read(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"), "left")
-    orders = read(spark, sf, "orders").where("o_orderstatus = 'P'").select("o_custkey", "o_orderkey")
-    return rows.join(orders, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", F.col("n_name").alias("regulation"), F.col("r_name").alias("article"), F.col("o_orderkey").alias("paragraph"))
+    """Three optional parts, two of them a chain."""
+    region = _facts(read(spark, sf, "region"), "r/", "r_regionkey", {"label": "r_name"}, {})
+    order = _facts(read(spark, sf, "orders").where("o_orderstatus = 'P'"), "o/", "o_orderkey", {}, {"placedBy": ("c/", "o_custkey")})
+    p = Pattern(_people(spark, sf).unionByName(region).unionByName(order)).where("?c", "rdf:type", "c/").optional(("?c", "inNation", "?n"), ("?n", "label", "?regulation")).optional(("?c", "inNation", "?m"), ("?m", "inRegion", "?r"), ("?r", "label", "?article")).optional(("?o", "placedBy", "?c"))
+    key = lambda c: F.substring_index(c, "/", -1).cast("long")
+    return p.rows.select(key("c").alias("c_custkey"), "regulation", "article", key("o").alias("paragraph"))
 
 
 @query("""SELECT 'customer/' || c_custkey AS s, c_name, c_mktsegment, c_nationkey::VARCHAR AS c_nationkey FROM customer WHERE coalesce(c_name, c_mktsegment, c_nationkey::VARCHAR) IS NOT NULL""")
@@ -159,8 +186,8 @@ def q12_identity_score(spark, sf):
 def q13_identity_fuzzy(spark, sf):
     """As q12 over benchmark items, with statements compared by gestalt similarity."""
     items = read(spark, sf, "benchmark")
-    norms = items.select(F.col("item_id").alias("id"), F.col("item_id").alias("ord"), F.lit("obligation").alias("type"), *[F.substring_index("text", " ", 1).alias(c) for c in ("regulation", "article", "agent")], F.lit("").alias("action"), F.lit("").alias("object"), F.col("text").alias("statement"), F.array().cast("array<string>").alias("conditions"))
-    return resolve.duplicate_norms(norms, keep=40).select("a", "b", "score")
+    mod = lambda n: (F.col("item_id") % n).cast("string")
+    return resolve.duplicate_norms(items.select(F.col("item_id").alias("id"), F.col("item_id").alias("ord"), F.lit("obligation").alias("type"), mod(2).alias("article"), mod(3).alias("regulation"), mod(5).alias("agent"), F.lit("").alias("action"), F.lit("").alias("object"), F.col("text").alias("statement"), F.array().cast("array<string>").alias("conditions"))).select("a", "b", "score")
 
 
 _EDGES = """edges AS (SELECT DISTINCT event_type AS src, dst FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL AND dst <> event_type)"""
@@ -234,8 +261,8 @@ def q19_min_conditions(spark, sf):
 @query("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1""")
 def q20_first_wins(spark, sf):
     """First row of each key: an aggregate with partial results, not a sort of every group."""
-    rows = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return rows.groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey")).alias("x")).select("l_orderkey", "x.l_linenumber", "x.l_partkey")
+    rows = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.struct("l_linenumber", "l_partkey").alias("place"))
+    return graph.first_values(rows, "l_orderkey", "place", ["l_linenumber", "l_partkey"])
 
 
 @query("""
@@ -267,8 +294,7 @@ def q23_token_search(spark, sf):
 
 @query("""SELECT CASE event_type WHEN 'view' THEN 'click' ELSE event_type END AS type, count(*) AS n FROM events GROUP BY 1""")
 def q24_type_counts(spark, sf):
-    kind = F.when(F.col("event_type") == "view", "click").otherwise(F.col("event_type"))
-    return read(spark, sf, "events").groupBy(kind.alias("type")).agg(F.count("*").alias("n"))
+    return norms.type_counts(read(spark, sf, "events"), {"view": "click"}, "event_type")
 
 
 @query("""
@@ -298,7 +324,9 @@ def q27_typed_literal(spark, sf):
 SELECT l_orderkey, min(l_linestatus) FILTER (l_returnflag = 'A') AS A, min(l_linestatus) FILTER (l_returnflag = 'N') AS N, min(l_linestatus) FILTER (l_returnflag = 'R') AS R FROM lineitem GROUP BY l_orderkey
 """)
 def q28_norm_pivot(spark, sf):
-    return read(spark, sf, "lineitem").groupBy("l_orderkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.min("l_linestatus"))
+    """Triples back to one row for each subject."""
+    flags = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("s"), F.col("l_returnflag").alias("p"), F.col("l_linestatus").alias("o"))
+    return decode(flags, ["A", "N", "R"]).withColumnRenamed("s", "l_orderkey")
 
 
 @query("""SELECT c_nationkey AS pack, sha256(string_agg(c_custkey || ':' || c_name, ',' ORDER BY c_custkey)) AS fingerprint FROM customer GROUP BY c_nationkey""")
@@ -319,7 +347,8 @@ def q30_chain(spark, sf):
 
 @query("""SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100""")
 def q31_order_limit(spark, sf):
-    return read(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
+    rows = read(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return Pattern(rows, rows).order(F.desc("o_totalprice"), "o_orderkey").slice(100).select("o_orderkey", "o_totalprice")
 
 
 @query("""SELECT c.c_custkey::VARCHAR AS customer, n.n_name AS nation FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey WHERE c.c_mktsegment = 'BUILDING' AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')""")

@@ -85,7 +85,7 @@ def tables(rows: DataFrame) -> dict[str, DataFrame]:
         "nodes": part("node").select("file", "id", "type", "name", "seq"),
         "flows": part("flow").select("file", "id", "src", "dst", "name", "seq"),
         "gateway_order": part("order").select("file", F.col("id").alias("gateway_id"), F.col("key").alias("flow_id"), F.col("seq").alias("pos")),
-        "props": part("prop").select("file", F.col("id").alias("element_id"), "key", "value"),
+        "props": part("prop").select("file", F.col("id").alias("element_id"), "key", "value", "seq"),
     }
 
 

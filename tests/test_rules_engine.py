@@ -9,6 +9,7 @@ from ruleweave.operators import evaluate, graph, norms, resolve, rules
 from ruleweave.operators.bgp import path
 from ruleweave.operators.triples import abox
 from ruleweave.plans.presets import PRESETS
+from ruleweave.plans import norm_queries  # noqa: F401
 from ruleweave.plans.table_queries import ORACLE_SQL, QUERIES
 from ruleweave.sources import diagrams, rules_xml, sinks
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Largest number of narrow rows (a few longs each) that an operator sends to every executor; beyond it the same join shuffles.
@@ -55,8 +55,7 @@ def _with_least(rows: DataFrame, salts: int = 64) -> DataFrame:
     The least v of each part is found first; it is these rows, at most ``salts`` of a hub, that meet by hub alone.
     """
     rows = rows.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)))
-    part = rows.groupBy("u", "s").agg(F.min("v").alias("m"))
-    least = part.groupBy("u").agg(F.min("m").alias("m"), F.collect_set("s").alias("s")).select("u", "m", F.explode("s").alias("s"))
+    least = rows.groupBy("u", "s").agg(F.min("v").alias("m")).withColumn("m", F.min("m").over(Window.partitionBy("u")))
     return rows.join(least, ["u", "s"])
 
 
@@ -72,7 +71,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     before = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        # Settled, since three parts of the next plan read it.
+        large = settle(_with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct())
         stars = _with_least(large).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("v"))
         edges = settle(stars.unionByName(low).distinct())

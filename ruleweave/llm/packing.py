@@ -229,8 +229,11 @@ def pack(cut: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
     salts = spark.createDataFrame([(n, -(-c * SALTS // total)) for n, c in counts.items()], "length long, salts long")
     place = F.xxhash64(F.monotonically_increasing_id())  # of settled rows, so the same whenever a task is run again
     salted = cut.withColumn("place", place).join(F.broadcast(salts), "length").withColumn("salt", F.pmod("place", F.col("salts")))
-    sums = salted.groupBy("length", "salt").count()
-    base = sums.select("length", "salt", F.expr("sum(count) over (partition by length order by salt) - count").alias("base"))
+    base, ends = [], defaultdict(int)
+    for r in sorted(salted.groupBy("length", "salt").count().collect()):
+        base.append((r["length"], r["salt"], ends[r["length"]]))
+        ends[r["length"]] += r["count"]
+    base = spark.createDataFrame(base, "length long, salt long, base long")
     within = salted.withColumn("within", F.expr(f"row_number() over (partition by length, salt order by `{id_col}`, piece) - 1"))
     ranked = within.join(F.broadcast(base), ["length", "salt"]).withColumn("rank", F.col("base") + F.col("within"))
     r, p = F.broadcast(runs).alias("r"), ranked.alias("p")

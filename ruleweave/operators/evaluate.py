@@ -22,19 +22,18 @@ def matched(facts: DataFrame, scenarios: DataFrame, rules: DataFrame, body: Data
     """
     atoms = body.select("rid", "pred", "value").distinct()
     needed = atoms.groupBy("rid").agg(F.count("*").alias("n_body"))
-    hits = facts.join(_small(atoms), ["pred", "value"]).groupBy("scenario_id", "rid").agg(F.count_distinct("pred", "value").alias("n"))
-    full = hits.join(_small(needed), "rid").where("n = n_body").select("scenario_id", "rid")
+    # Rules are few beside facts; the planner sends them to every executor where their size allows it.
+    hits = facts.join(atoms, ["pred", "value"]).groupBy("scenario_id", "rid").agg(F.count_distinct("pred", "value").alias("n"))
+    full = hits.join(needed, "rid").where("n = n_body").select("scenario_id", "rid")
     vacuous = rules.select("rid").join(needed, "rid", "left_anti")
     every = scenarios.select("scenario_id").distinct()
-    if vacuous.isEmpty():
-        return full
     # Beyond the broadcast limit Spark pairs the partitions of both sides.
     return full.unionByName(every.crossJoin(_small(vacuous)))
 
 
 def outcomes(matches: DataFrame, head: DataFrame) -> DataFrame:
     """(scenario_id, event, norm) in order of rule and place, once each: ``head`` is (rid, rule_ord, pos, event, norm)."""
-    rows = matches.join(_small(head), "rid").groupBy("scenario_id", "event", "norm").agg(F.min(F.struct("rule_ord", "pos")).alias("first"))
+    rows = matches.join(head, "rid").groupBy("scenario_id", "event", "norm").agg(F.min(F.struct("rule_ord", "pos")).alias("first"))
     order = F.row_number().over(Window.partitionBy("scenario_id").orderBy("first", "event", "norm"))
     return rows.select("scenario_id", order.alias("ord"), "event", "norm")
 

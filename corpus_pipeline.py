@@ -74,11 +74,26 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each one's result is written to the shared folder and read again."""
-    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+def _files(spark: SparkSession, path: str):
+    """The file system of ``path`` and the path, as the cluster sees them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """Apply the stages to ``documents``; each one's result is written to the shared folder and read again.
+
+    A stage's input is removed once its result is written. Given the ``folder`` of a run that broke off, the run goes on
+    behind the last stage that was written as a whole.
+    """
+    folder = folder or f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    whole = lambda k: (lambda fs, at: fs.exists(at))(*_files(spark, f"{folder}/{k}/_SUCCESS"))
+    done = max((k for k in range(len(STAGES)) if whole(k)), default=-1)
+    docs = table(spark, sf_dir, "documents") if done < 0 else spark.read.parquet(f"{folder}/{done}")
+    for k, (_, stage) in list(enumerate(STAGES))[done + 1 :]:
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            fs, at = _files(spark, f"{folder}/{k - 1}")
+            fs.delete(at, True)
     return docs

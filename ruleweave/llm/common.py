@@ -1,10 +1,10 @@
-"""Helpers shared by the operators: table reading, lineage cuts and connected components."""
+"""Helpers shared by the operators: table reading and lineage cuts."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest number of narrow rows (a few longs each) that an operator sends to every executor; beyond it the same join shuffles.
@@ -47,38 +47,3 @@ def let(value: Column, body) -> Column:
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 0 modulo 5; also for a null id, which never trains."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
-
-
-def _with_least(rows: DataFrame, salts: int = 64) -> DataFrame:
-    """``rows`` (u, v) with the least v of each u as m; a hub's rows are dealt over ``salts`` parts.
-
-    The least v of each part is found first; it is these rows, at most ``salts`` of a hub, that meet by hub alone.
-    """
-    rows = rows.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)))
-    least = rows.groupBy("u", "s").agg(F.min("v").alias("m")).withColumn("m", F.min("m").over(Window.partitionBy("u")))
-    return rows.join(least, ["u", "s"])
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Smallest reachable node for each node of undirected ``edges``: columns node, component.
-
-    Alternating large-star and small-star rounds; each halves the depth of the trees, no row leaves the executors, and no
-    hub's neighbours meet in one task.
-    Null ends and self loops are ignored; an empty input gives an empty result.
-    """
-    edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    edges = settle(edges)
-    before = None
-    while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Settled, since three parts of the next plan read it.
-        large = settle(_with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct())
-        stars = _with_least(large).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("v"))
-        edges = settle(stars.unionByName(low).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()

@@ -36,8 +36,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import connected_components, settle, small
+from ruleweave.llm.common import settle, small
 from ruleweave.llm.textbatch import Words, mix, parts, shingles
+from ruleweave.operators.graph import components
 
 HEAVY = 1_000_000
 PAIRS_UP_TO = 8
@@ -378,7 +379,7 @@ def _dealt(members: DataFrame, size: str) -> DataFrame:
 
 def families(stars: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
     """Settled rows (family, cls): the members of connected families whose sketches allow a link with another member."""
-    found = connected_components(stars).select(F.col("node").alias("cls"), F.col("component").alias("family"))
+    found = components(stars).select(F.col("node").alias("cls"), F.col("component").alias("family"))
     members = settle(found.join(sketches.select("cls", F.octet_length("sk").alias("bytes")), "cls"))
     dealt = _dealt(members, "bytes").join(sketches, "cls")
 
@@ -431,7 +432,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(members.select("cls")).distinct().join(sketches.select("cls", "t"), "cls"))
     sets = set_rows(docs, text_col, width, wanted)
     links = settle(verified(pairs, sets, percent).unionByName(family_links(members, sets, bands)))
-    classes = connected_components(links).select(F.col("node").alias("cls"), "component")
+    classes = components(links).select(F.col("node").alias("cls"), "component")
     # Ids by class first, so that a class with very many copies is one row in what follows.
     named = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least")).join(classes, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     named = settle(named)

@@ -240,9 +240,32 @@ def test_line_dedup_ties_repeats_and_clashing_names(spark):
 
 
 def test_components_of_hubs_and_chains(spark):
-    from ruleweave.llm.common import connected_components
+    from ruleweave.operators.graph import components
 
     edges = [(1, k) for k in range(2, 500)] + [(k, k + 1) for k in range(1000, 1300)] + [(499, 5000), (7, 7), (None, 3), (5000, 1)] + [(k, 9000) for k in range(8000, 8200)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
     want = {k: 1 for k in [*range(1, 500), 5000]} | {k: 1000 for k in range(1000, 1301)} | {k: 8000 for k in [*range(8000, 8200), 9000]}
     assert got == want
+
+
+def test_the_pipeline_goes_on_where_it_broke_off(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    sf, folder = "/root/testdata/sf0.001", str(tmp_path / "run")
+    stages = list(corpus_pipeline.STAGES)
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*stages[:2], ("broken", broken), *stages[3:]])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, sf, folder)
+    assert sorted(x.name for x in (tmp_path / "run").iterdir()) == ["1"]
+    calls = []
+    counted = [(name, lambda *a, f=f, name=name: (calls.append(name), f(*a))[1]) for name, f in stages]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", counted)
+    rows = corpus_pipeline.run(spark, sf, folder).collect()
+    assert calls == [name for name, _ in stages[2:]] and sorted(x.name for x in (tmp_path / "run").iterdir()) == ["4"]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    again = corpus_pipeline.run(spark, sf).collect()
+    assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in rows) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in again)

@@ -194,3 +194,14 @@ def clause(kind: Column, agent: Column, action: Column, object_: Column, stateme
     full = F.when((said != "") & ~F.contains(F.lower(short), F.lower(said)), F.concat(short, F.lit(": "), said)).otherwise(short)
     missing = F.coalesce(F.nullif(fallback, F.lit("")), F.lit("Not provided"))
     return F.when(word == "", missing).when((who == "") & (tail == ""), F.when(fallback == "", "Not provided").otherwise(F.concat(word, F.lit(" "), fallback))).otherwise(full)
+
+
+def iri(kind: Column, name: Column, rules: str, individuals: str, vocabulary: str) -> Column:
+    """IRI of a reference by its kind: var, abox, tbox or rules; another kind raises an error."""
+    fixed = {"rules": f"{rules}#", "abox": f"{individuals}#", "tbox": vocabulary, "var": f"{rules}#var_"}
+    known = F.concat(lookup(kind, fixed), name)
+    return F.when(kind.isin(*fixed), known).otherwise(F.raise_error(F.concat(F.lit("no such kind of reference: "), F.coalesce(kind, F.lit("null")))))
+
+
+def datatype_iri(datatype: Column) -> Column:
+    return F.when(datatype.rlike("^https?://"), datatype).otherwise(F.concat(F.lit("http://www.w3.org/2001/XMLSchema#"), F.replace(datatype, F.lit("xsd:"), F.lit(""))))

@@ -96,3 +96,21 @@ def appended(files: DataFrame, added: DataFrame) -> DataFrame:
 
 def summaries(rules: DataFrame) -> DataFrame:
     return rules.groupBy("file").agg(F.count("*").alias("rule_count"))
+
+
+def rebuild(files: DataFrame, recorded: DataFrame, path: str) -> list[str]:
+    """Rebuild the triples of packs whose files changed into the store at ``path``; returns their names.
+
+    ``files`` is (pack, path, content) of diagrams, ``recorded`` the fingerprints of the last build. One pack is one graph
+    with names of its own, so packs are built one by one.
+    """
+    from ruleweave.operators.resolve import normalize
+    from ruleweave.operators.triples import abox
+    from ruleweave.sources import diagrams
+
+    packs = sorted(r["pack"] for r in stale(fingerprints(files), recorded).select("pack").collect())
+    for pack in packs:
+        rows = diagrams.parse(files.where(F.col("pack") == pack).select(F.col("path").alias("file"), F.col("content").alias("xml")))
+        records, _, _ = normalize(diagrams.records(rows))
+        save_triples(abox(records).withColumn("pack", F.lit(pack)), path)
+    return packs

@@ -6,7 +6,7 @@ import xml.etree.ElementTree as ET
 
 import pandas as pd
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Namespaces of the formats.
@@ -66,6 +66,12 @@ def duplicates(rows: DataFrame) -> DataFrame:
     return rows.groupBy("rid").agg(F.count(F.when((F.col("part") == "head") & (F.col("pos") == 0), 1)).alias("n")).where("n > 1")
 
 
+def unique_rids(rules: DataFrame) -> DataFrame:
+    """``rules`` with ``name``: the rid, for its later rows by ``rule_ord`` with _2, _3, ... behind it."""
+    place = F.row_number().over(Window.partitionBy("rid").orderBy("rule_ord"))
+    return rules.withColumn("name", F.when(place == 1, F.col("rid")).otherwise(F.concat_ws("_", "rid", place.cast("string"))))
+
+
 def export(rules: DataFrame, body: DataFrame, head: DataFrame, base: str) -> DataFrame:
     """(rid, rule_ord, xml): one rule element for each rule with conditions and triggers; join them in order for a file."""
     iri = lambda c: F.concat(F.lit(f'rdf:resource="{base}#'), c, F.lit('"'))

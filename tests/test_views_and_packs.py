@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from ruleweave.functions import text as T
 from ruleweave.operators import evaluate, graph, resolve, rules, views
 from ruleweave.operators.bgp import Pattern
 from ruleweave.operators.triples import abox, trigger_triples
@@ -173,3 +174,29 @@ def test_fuzzy_duplicates_of_the_benchmark_equal_brute_force(spark):
     items = [{"id": r.item_id, "type": "o", "article": str(r.item_id % 2), "regulation": str(r.item_id % 3), "agent": str(r.item_id % 5), "action": "", "object": "", "statement": r.text, "conditions": []} for r in spark.read.parquet(f"{folder}/benchmark.parquet").orderBy("item_id").collect()]
     assert sorted((r.a, r.b, r.score) for r in QUERIES["q13_identity_fuzzy"](spark, folder).collect()) == sorted(duplicates(items))
     assert norm_queries.part_records(spark, "/root/testdata/sf0.001").count() == 200
+
+
+def test_packs_are_rebuilt_when_their_files_change(spark, tmp_path):
+    files = spark.createDataFrame([("one", "two.bpmn", TWO), ("other", "two.bpmn", TWO)], "pack string, path string, content string")
+    recorded = spark.createDataFrame(packs.fingerprints(files).collect(), "pack string, fingerprint string")
+    store = str(tmp_path / "store")
+    packs.save_triples(spark.createDataFrame([("one", "s", "deonticId", "old"), ("other", "s", "deonticId", "OBL_7")], "pack string, s string, p string, o string").selectExpr("*", "'literal' as o_kind", "'xsd:string' as datatype", "cast(null as string) as lang"), store)
+    changed = files.withColumn("content", F.when(F.col("pack") == "one", F.replace("content", F.lit("OBL_1"), F.lit("OBL_2"))).otherwise(F.col("content")))
+    assert packs.rebuild(changed, recorded, store) == ["one"]
+    ids = lambda pack: {r.o for r in packs.load_triples(spark, store, pack).where("p = 'deonticId'").collect()}
+    assert ids("one") == {"OBL_2", "REC_1"} and ids("other") == {"OBL_7"}
+
+
+def test_iris_rids_and_ids_of_equal_tasks(spark):
+    kinds = spark.createDataFrame([("rules", "a"), ("abox", "b"), ("tbox", "c"), ("var", "x")], "kind string, name string")
+    named = kinds.select(T.iri(F.col("kind"), F.col("name"), "http://r", "http://i", "http://v#").alias("iri"))
+    assert [r.iri for r in named.collect()] == ["http://r#a", "http://i#b", "http://v#c", "http://r#var_x"]
+    with pytest.raises(Exception, match="no such kind"):
+        kinds.select(T.iri(F.lit("odd"), F.col("name"), "r", "i", "v")).collect()
+    assert spark.range(1).select(T.datatype_iri(F.lit("xsd:date")).alias("t")).first().t == "http://www.w3.org/2001/XMLSchema#date"
+    rids = spark.createDataFrame([("r1", 1), ("r2", 2), ("r1", 3), ("r1", 4)], "rid string, rule_ord int")
+    assert [r.name for r in rules_xml.unique_rids(rids).orderBy("rule_ord").collect()] == ["r1", "r2", "r1_2", "r1_3"]
+    task = lambda file, element, seq, **kv: [(file, element, k if k.startswith("_") else f"compliance_{k}", v, seq) for k, v in kv.items()]
+    rows = task("b", "x", 1, elementType="task", deonticType="obligation", agent="A b", deonticId="OBL_9") + task("a", "x", 2, elementType="task", deonticType="Obligation", agent="a-b", _bpmn_name="Do it") + task("b", "y", 3, elementType="task", deonticId="N") + task("b", "z", 4, deonticType="obligation", agent="a b", deonticId="Z")
+    got = {(r.file, r.element_id): r.value for r in resolve.canonical_prop_ids(spark.createDataFrame(rows, "file string, element_id string, key string, value string, seq int")).where("key = 'compliance_deonticId'").collect()}
+    assert got == {("a", "x"): "OBL_Do_it", ("b", "x"): "OBL_Do_it", ("b", "y"): "N", ("b", "z"): "Z"}

@@ -203,7 +203,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col:
 
     def run(batches):
         encoder = Encoder(vocabulary)
-        for batch in parts(batches, 1, size=6 << 20):
+        for batch in parts(batches, 1, size=3 << 20):
             ids, starts = encoder.encode(batch.column(1))
             rows = []
             for i in range(batch.num_rows):

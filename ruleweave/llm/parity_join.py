@@ -2,18 +2,20 @@
 
 A set's sketch is a very long bit vector in which each shingle flips one bit, so the Hamming distance of two sketches is
 at most the symmetric difference of the sets. A pair with Jaccard J >= t has a symmetric difference of at most
-(1 - t) / (1 + t) of its joint size; in a band of sizes that is a bound k, and of more than k blocks of the sketch at
-least one is equal (pigeonhole). A block's bits are kept as the XOR of the hashes of its shingles, and equal blocks are
-found by one shuffle of 5-byte block keys. In detail:
+(1 - t) / (1 + t) of its joint size; in a band of sizes that is a bound k, and of k + ``AGREE`` blocks of the sketch at
+least ``AGREE`` are equal (pigeonhole). A block's bits are kept as the XOR of the hashes of its shingles, and equal blocks
+are found by one shuffle of 5-byte block keys. In detail:
 
 * Bands grow by 1 / t, so partners are in the same band or adjoining ones; a set sends keys for its own band and as the
   larger partner for the band below.
-* Shingles that very many documents share would make hot blocks. They are counted over all documents (at most
-  ``HEAVY`` of them can pass the bound) and left out. A set with more than k non-empty blocks of other shingles sends
-  just the first k + 1 of those: of two such sets that link, the one whose sent blocks end first has an equal one among
-  them, and the other one sends it too. A set with fewer (a member of a large family, mostly) sends all of these, and
-  the blocks of its whole set; where empty blocks could hide the equal one, the empty ones too.
-* A key that up to ``PAIRS_UP_TO`` sets share gives all their pairs. One that more share gives a star, and the
+* Shingles that many documents share would make hot blocks. Those met most often, at most ``HEAVY``, are left out. A set
+  with k + ``AGREE`` non-empty blocks of other shingles sends just the first k + ``AGREE`` of those: of two such sets that
+  link, the one whose sent blocks end first has ``AGREE`` equal ones among them, and the other one sends these too. A set
+  with fewer (a member of a large family, mostly) sends all of these, and the blocks of its whole set; where empty blocks
+  could hide equal ones, the empty ones too.
+* A key that up to ``PAIRS_UP_TO`` sets share gives all their pairs, and pairs that meet in fewer than ``AGREE`` keys are
+  dropped: two texts with a common phrase mostly share one key, and the number of such pairs grows with the square of the
+  input. One that more share gives a star, so that whoever meets in it is compared whatever the number of keys; the
   connected families of these are compared within memory, in chunks of bounded size, by sketches of a few thousand bits
   and exactly where the sketches allow a link; a pair already in one component is skipped. So no large group is ever
   expanded into its pairs, and no link between different components is lost.
@@ -36,12 +38,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleweave.llm.common import settle, small
+from ruleweave.llm.common import drop_shuffles, settle, small
 from ruleweave.llm.textbatch import Words, mix, parts, shingles
 from ruleweave.operators.graph import components
 
-HEAVY = 1_000_000
-PAIRS_UP_TO = 8
+HEAVY, LEAST = 1_000_000, 24
+PAIRS_UP_TO = 16
+AGREE = 3
 KEYS_PER_TASK = 1_500_000
 CHUNK_SETS, CHUNK_BYTES = 4096, 64 << 20
 _U = np.uint64
@@ -73,7 +76,7 @@ class Bands:
         return [(band, k) for band, k in out if k]
 
     def blocks(self, band: int) -> tuple[int, int]:
-        """Blocks for the sets without heavy shingles, and for whole sets; both above any k of the band."""
+        """Blocks for the sets without heavy shingles, and for whole sets; these at least any k of the band + ``AGREE``."""
         top = self.bounds[band + 1]
         return ceil(0.6 * top) + 8, ceil(1.3 * (self.most(top + top * 100 // self.percent) + 1)) + 2
 
@@ -102,13 +105,13 @@ def block_keys(s: np.ndarray, heavy: np.ndarray, bands: Bands) -> np.ndarray:
     for band, k in bands.roles(len(s)):
         m, whole = bands.blocks(band)
         block, content = _blocks(rare, m)
-        if len(block) > k:
-            out.append(_keys(block[: k + 1], content[: k + 1], band, 0))
+        if len(block) >= k + AGREE:
+            out.append(_keys(block[: k + AGREE], content[: k + AGREE], band, 0))
             continue
         out.append(_keys(block, content, band, 0))
         block, content = _blocks(s, whole)
         out.append(_keys(block, content, band, 1))
-        if len(block) <= k:
+        if len(block) < k + AGREE:
             empty = np.setdiff1d(np.arange(whole), block)
             out.append(_keys(empty, np.zeros(len(empty), _U), band, 2))
     return np.concatenate(out) if out else np.zeros(0, _U)
@@ -208,8 +211,8 @@ def _send(docs: DataFrame, text_col: str, width: int, heavy, bands: Bands, tasks
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "part long, data binary")
 
 
-def _collisions(part: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(kind, a, b) from all data of one part: kind 0 are pairs of small groups, kind 1 the stars of large ones."""
+def _collisions(part: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kind, a, b, keys in common) from all data of one part: kind 0 are pairs of small groups, kind 1 the stars of large ones."""
     ids, keys = [], []
     for data in part:
         n = int(np.frombuffer(data, np.uint32, 1)[0])
@@ -252,12 +255,13 @@ def _collisions(part: list[bytes]) -> list[tuple[int, np.ndarray, np.ndarray]]:
         a, b = a[order], b[order]
         new = np.ones(len(a), dtype=bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        distinct.append((kind, a[new], b[new]))
+        times = np.diff(np.concatenate([np.flatnonzero(new), [len(a)]]))
+        distinct.append((kind, a[new], b[new], times))
     return distinct
 
 
 def candidates(docs: DataFrame, text_col: str, width: int, heavy, bands: Bands, total: int) -> DataFrame:
-    """Settled distinct rows (kind, a, b) of class hashes."""
+    """Settled distinct rows (kind, a, b) of class hashes; of kind 0, those with ``AGREE`` keys in common."""
     tasks = max(1, min(1 << 24, ceil(0.65 * total / KEYS_PER_TASK)))
 
     def run(batches):
@@ -266,11 +270,12 @@ def candidates(docs: DataFrame, text_col: str, width: int, heavy, bands: Bands,
             for p, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(p, []).append(data)
         for p in list(by):
-            for kind, a, b in _collisions(by.pop(p)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+            for kind, a, b, times in _collisions(by.pop(p)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(times)], ["kind", "a", "b", "times"])
 
     sent = _send(docs, text_col, width, heavy, bands, tasks).repartitionById(tasks, F.col("part").cast("int"))
-    return settle(sent.mapInArrow(run, "kind int, a long, b long").distinct())
+    met = sent.mapInArrow(run, "kind int, a long, b long, times long").groupBy("kind", "a", "b").agg(F.sum("times").alias("times"))
+    return settle(met.where((F.col("kind") == 1) | (F.col("times") >= AGREE)).select("kind", "a", "b"))
 
 
 def set_rows(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
@@ -412,6 +417,19 @@ def family_links(members: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame
     return dealt.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def _frequent(every: DataFrame) -> np.ndarray:
+    """The shingles met most often, sorted: as many levels of their counts (four an octave) as give at most ``HEAVY``."""
+    met = every.where("heavy is not null").groupBy("heavy").agg(F.sum("times").alias("n")).where(F.col("n") >= LEAST)
+    met = settle(met.select("heavy", F.floor(4 * F.log2("n")).cast("int").alias("level")))
+    least, many = 1 << 30, 0
+    for level, n in sorted(map(tuple, met.groupBy("level").count().collect()), reverse=True):
+        if (many := many + n) > HEAVY:
+            break
+        least = level
+    found = met.where(F.col("level") >= least).select("heavy").toArrow().column(0).to_numpy()
+    return np.sort(found.astype(np.int64).view(_U))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links of ``percent`` Jaccard)."""
     spark = docs.sparkSession
@@ -419,19 +437,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = every.where("n_shingles is not null").select("id", "n_shingles", "cls")
     total, largest = rows.agg(F.sum("n_shingles"), F.max("n_shingles")).first()
     total, largest = total or 0, largest or 0
-    least = max(24, total // HEAVY)
-    heavy = every.where("heavy is not null").groupBy("heavy").agg(F.sum("times").alias("n")).where(F.col("n") >= least)
-    # No more than HEAVY shingles can have a count of total / HEAVY.
-    frequent = np.sort(np.array([r["heavy"] for r in heavy.select("heavy").collect()], np.int64).view(_U))
     bands = Bands(percent, largest)
-    found = candidates(docs, text_col, width, spark.sparkContext.broadcast(frequent), bands, total)
+    found = candidates(docs, text_col, width, spark.sparkContext.broadcast(_frequent(every)), bands, total)
+    drop_shuffles(spark)  # that of the keys is the largest by far
     met = found.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     sketches = settle(every.where("sk is not null").select("cls", F.col("n_shingles").alias("n"), "sk", "t").dropDuplicates(["cls"]).join(met, "cls", "left_semi"))
     pairs = possible(found.where("kind = 0"), sketches, bands)
     members = families(found.where("kind = 1"), sketches, bands)
     wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(members.select("cls")).distinct().join(sketches.select("cls", "t"), "cls"))
     sets = set_rows(docs, text_col, width, wanted)
+    drop_shuffles(spark)
     links = settle(verified(pairs, sets, percent).unionByName(family_links(members, sets, bands)))
+    drop_shuffles(spark)
     classes = components(links).select(F.col("node").alias("cls"), "component")
     # Ids by class first, so that a class with very many copies is one row in what follows.
     named = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least")).join(classes, "cls", "left").withColumn("component", F.coalesce("component", "cls"))

@@ -91,6 +91,27 @@ def test_family_chunks_lose_no_link():
     assert groups([p for x in parts for p in x]) == groups(every)
 
 
+def test_linked_sets_send_several_keys_in_common():
+    rng = np.random.default_rng(1)
+    frequent = np.sort(rng.integers(0, 1 << 63, 40).astype(np.uint64))
+    bands = parity_join.Bands(75, 3000)
+    for n in [3, 4, 5, 7, 10, 16, 30, 60, 150, 700] * 30:
+        a = np.unique(np.concatenate([frequent[: rng.integers(0, min(40, n))], rng.integers(0, 1 << 63, n).astype(np.uint64)]))[:n]
+        gone, more = rng.integers(0, n // 7 + 1), rng.integers(0, n // 3 + 1)
+        b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 1 << 63, more).astype(np.uint64)]))
+        if not np.array_equal(a, b) and parity_join.linked(a, b, 75):
+            assert len(np.intersect1d(*(parity_join.block_keys(x, frequent, bands) for x in (a, b)))) >= parity_join.AGREE
+
+
+def test_a_common_phrase_makes_no_candidates(spark):
+    rng = random.Random(2)
+    rows = [" ".join([f"{rng.random():.9f}" for _ in range(60)] + [f"phrase{k % 30}"] * 5) for k in range(300)]
+    rows.append(rows[0] + " more")
+    docs = spark.createDataFrame([(t,) for t in rows], "text string")
+    bands, none = parity_join.Bands(75, 70), spark.sparkContext.broadcast(np.zeros(0, np.uint64))
+    assert parity_join.candidates(docs, "text", 5, none, bands, 300 * 61).count() == 1
+
+
 def test_token_counts_equal_the_library(docs, empty):
     from tokenizers import Tokenizer
 
